@@ -7,22 +7,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import decontaminate, language, mixing, quality, secrets, toxicity, urls
 from .common import fold, table
 
 
+def _held_out(parts: int, remainder: int):
+    return F.coalesce(fold(parts=parts) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
-    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted", "sentences")
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", "sentences")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.measure(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op4_secrets": op4_secrets,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_language": op7_language,
+        "op8_mix": op8_mix,
+        "op9_urls": op9_urls,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontaminate": decontaminate.SQL,
+        "op8_mix": mixing.SQL,
+        "op9_urls": urls.sql(),
+        "op10_quality": quality.sql(),
+    }
