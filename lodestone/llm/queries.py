@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dup, quality, secrets, toxicity, urls
+from . import decontaminate, language, mixing, near_dup, quality, repeats, secrets, toxicity, urls
 from .common import fold, table
 
 
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", "sentences")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -58,6 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_repeats": op2_repeats,
         "op3_near_dup": op3_near_dup,
         "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_repeats": repeats.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op8_mix": mixing.SQL,
         "op9_urls": urls.sql(),
