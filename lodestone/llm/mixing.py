@@ -103,6 +103,15 @@ def mix(sizes: DataFrame, **settings) -> DataFrame:
     return rows.withColumn("copies", copies.cast("int")).select("doc_id", "source", "size", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"), "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def draw(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: the rows of docs, as often as they are taken, with a column `copy` from 1.
+
+    Rows that share a doc_id are taken as often as the one that is taken most."""
+    plan = mix(sized(docs), **settings).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    taken = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy" if "copy" not in docs.columns else "mix_copy"))
+
+
 #: DuckDB: the rows of mix(), without source and copies.
 SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

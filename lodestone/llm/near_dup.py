@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -234,3 +234,19 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
         rest = large.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n", "s0", "s1", "s2", "s3")
         level += 1
         members = _children(rest, reps) if level < LEVELS else rest
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns unchanged, without those whose component has a smaller doc_id.
+
+    Of rows that share a doc_id one stays, that of the smallest text; rows with a null doc_id stay."""
+    found = cut(link(docs, size, percent).where("doc_id is not null"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if not again.head(1):
+        return left
+    repeated = F.col("doc_id").cast("long") == F.col("_again")
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    one = left.join(again, repeated, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return left.join(again, repeated, "left_anti").unionByName(one)

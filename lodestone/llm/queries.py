@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dup, quality, repeats, secrets, toxicity, urls
+from . import decontaminate, html, language, mixing, near_dup, quality, repeats, secrets, toxicity, urls
 from .common import fold, table
 
 
@@ -41,6 +41,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dup": op3_near_dup,
         "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
+        "op6_html": op6_html,
         "op7_language": op7_language,
         "op8_mix": op8_mix,
         "op9_urls": op9_urls,
