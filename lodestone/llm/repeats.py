@@ -34,8 +34,8 @@ from . import words as W
 from .common import shuffle_partitions
 
 SIZE, BLOCK = 13, 7
-#: Bytes of text that a bucket of documents holds about.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text that a bucket of documents holds about, and at least where there are few.
+BUCKET_BYTES, LEAST_BYTES = 4 << 20, 512 << 10
 
 _U = np.uint64
 _MISSING = -1 << 63
@@ -223,7 +223,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text.  One row for each: doc_id, n_words, n_removed, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(math.ceil(size / BUCKET_BYTES), 2 * shuffle_partitions(docs))
+    # Small inputs get smaller buckets, so that all tasks have work.
+    buckets = max(1, math.ceil(size / BUCKET_BYTES), min(2 * shuffle_partitions(docs), math.ceil(size / LEAST_BYTES)))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
     probes = dealt.groupBy("bucket").applyInArrow(_probes(buckets), "range long, bucket long, mark int, prints binary")
     hits = probes.groupBy("range").applyInArrow(_hits, "bucket long, range long, prints binary")
