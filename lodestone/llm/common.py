@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more: it acts on the
+    collection of their handles, which a driver with little garbage would put off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(id_column: str = "doc_id", parts: int = 5):
     """crc32 of the id as text, modulo `parts`; null ids have a null fold."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts

@@ -4,12 +4,14 @@ A document's set is its distinct shingles of `size` words (64-bit hashes).  Docu
 class, found by grouping, and only a class's smallest doc_id, its representative, goes on.
 
 Each of TREES independent trees branches representatives by minwise tokens: a node's children are made by
-one coordinate that a hash of the node chooses, now and then by two (1 / similarity on average), and a set
-goes to the child of its minwise token there.  The first two levels of all trees are made at once.  A node of
-at most LEAF members is compared exhaustively; of a larger one a pivot is compared with all others and
-leaves, and the rest branches on.  Below LEVELS levels nodes no longer branch but go on losing pivots until
-nothing is left to compare, so large nodes are never cut.  Pairs that are already in one component are not
-compared, so a group of n near copies costs about n comparisons.
+coordinates that a hash of the node chooses, 1 / similarity of them a level on average, and a set goes to the
+child of its minwise token there.  The first two levels of all trees are made at once, later ones STEP at a
+time, along two paths.  A node of at most LEAF members is compared exhaustively at once.  In a larger one a
+pivot is compared with all others first and leaves, which joins most of a group of copies; then, if at most
+NODE members are left, those of different components are compared, by sketches first; else the node branches.
+Below LEVELS steps nodes no longer branch but go on losing pivots until nothing is left to compare, so large
+nodes are never cut.  Pairs that are already in one component are not compared, so a group of n near copies
+costs about n comparisons.
 
 A pair at the threshold meets in one tree's first two levels with probability 0.64, in any of 16 trees with
 1 - 1e-7.  Pairs whose sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the
@@ -24,7 +26,6 @@ null component and are kept; rows that share a doc_id are compared like others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut
+from .common import cut, release, shuffle_partitions
 
-TREES, COORDINATES, LEAF, LEVELS = 16, 64, 24, 8
+TREES, COORDINATES, LEAF, NODE, STEP, LEVELS = 16, 64, 24, 128, 3, 6
 #: Coordinates of 64 that may differ: at a similarity of 0.8 the mean is 12 and the deviation 3.1.
 MOST_DIFFERENT = 28
 #: Members of a node that one copy of its pivot's set serves.
@@ -110,23 +111,21 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lo long, hi long, shingles binary")
 
 
-def _token(mins: Column, coordinate: Column) -> Column:
-    return F.substr(mins, coordinate * 4 + 1, F.lit(4))
-
-
 def _first_nodes(reps: DataFrame) -> DataFrame:
     """Members of the nodes two levels down every tree."""
     keys = F.array(*[F.xxhash64(F.lit(t), F.substr("mins", F.lit(8 * t + 1), F.lit(8))) for t in range(TREES)])
-    return reps.select(F.explode(keys).alias("key"), "rep", "n", "s0", "s1", "s2", "s3")
+    return reps.select(F.explode(keys).alias("key"), "rep")
 
 
 def _children(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the children: of each node, one coordinate, and of every fourth a second one."""
-    pick = lambda j: F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)).cast("int")
-    key = lambda j: F.xxhash64("key", F.lit(j), _token(F.col("mins"), pick(j)))
-    keys = F.when(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(4)) == 0, F.array(key(0), key(1))).otherwise(F.array(key(0)))
+    """Members of the nodes STEP levels below: two paths, each of STEP coordinates that a hash of the node chooses."""
+
+    def key(path: int) -> Column:
+        places = [F.pmod(F.xxhash64("key", F.lit(path), F.lit(j)), F.lit(COORDINATES)).cast("int") for j in range(STEP)]
+        return F.xxhash64("key", F.lit(path), *[F.substr("mins", p * 4 + 1, F.lit(4)) for p in places])
+
     wide = members.join(reps.select("rep", "mins"), "rep")
-    return wide.select(F.explode(keys).alias("key"), "rep", "n", "s0", "s1", "s2", "s3")
+    return wide.select(F.explode(F.array(key(0), key(1))).alias("key"), "rep")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -192,48 +191,78 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open(members: DataFrame, comp: DataFrame | None, level: int) -> DataFrame:
-    """Members of the nodes that still have something to compare, with their component, the node's size and pivot."""
+def _open(members: DataFrame, reps: DataFrame, comp: DataFrame | None, level: int) -> DataFrame:
+    """Members of the nodes that still have something to compare, with their sketch and component, the node's size and pivot."""
     if comp is not None:
         members = members.join(comp, "rep", "left").withColumn("c", F.coalesce("comp", "rep")).drop("comp")
     else:
         members = members.withColumn("c", F.col("rep"))
     nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("rep"))).alias("pivot"))
     nodes = nodes.where("low < high").select("key", "size", F.col("pivot.rep").alias("pivot"))
-    return cut(members.join(nodes, "key"))
+    return cut(members.join(nodes, "key").join(reps.select("rep", "n", "s0", "s1", "s2", "s3"), "rep"))
+
+
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after new links, which are followed between components only."""
+    if comp is None:
+        return components(links)
+    of = lambda end: comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moves = components(between.where("a <> b").distinct())
+    every = comp.union(moves.select("rep", F.col("rep").alias("comp"))).groupBy("rep").agg(F.min("comp").alias("old"))
+    moves = moves.select(F.col("rep").alias("old"), F.col("comp").alias("new"))
+    return cut(every.join(moves, "old", "left").select("rep", F.coalesce("new", "old").alias("comp")))
+
+
+def _exhaustive(small: DataFrame, percent: int) -> DataFrame:
+    a, b = small.alias("a"), small.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.c") != F.col("b.c")) & _alike("a", "b", percent))
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.lit(0).cast("long").alias("salt"))
+
+
+def _stars(large: DataFrame, percent: int) -> DataFrame:
+    copies = F.ceil(F.col("size") / SERVED).cast("long")
+    a = large.where(F.col("rep") == F.col("pivot")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).alias("a")
+    b = large.withColumn("salt", F.pmod(F.xxhash64("rep"), copies)).alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.c") != F.col("b.c")) & _alike("a", "b", percent))
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("b.salt").alias("salt"))
 
 
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """rep, comp of the representatives that have a link; None without any."""
-    comp, edges, sets = None, [], None
+    comp, sets, tested, level = None, None, None, 0
     members = _first_nodes(reps)
-    level = 0
     while True:
-        held = _open(members, comp, level)
-        if not held.head(1):
+        held = _open(members, reps, comp, level)
+        top = held.agg(F.max("size")).first()[0]
+        if top is None:
             return comp
         if sets is None:
             wanted = held.select("rep").distinct().join(reps.select("rep", "lo", "hi"), "rep")
             found = full_sets(docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size)
-            sets = cut(found.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "lo", "hi"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")))
-        small, large = held.where(F.col("size") <= LEAF), held.where(F.col("size") > LEAF)
-        possible = _alike("a", "b", percent)
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.c") != F.col("b.c")) & possible)
-        pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.lit(0).cast("long").alias("salt"))
-        pivots = large.where(F.col("rep") == F.col("pivot"))
-        copies = F.ceil(F.col("size") / SERVED).cast("long")
-        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).alias("a")
-        others = large.withColumn("salt", F.pmod(F.xxhash64("rep"), copies)).alias("b")
-        star = pivots.join(others, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.c") != F.col("b.c")) & possible)
-        pairs = pairs.union(star.select(F.col("a.rep"), F.col("b.rep"), F.col("b.salt"))).distinct()
-        new = cut(_confirmed(pairs, sets, percent))
-        if new.head(1):
-            edges.append(new)
-            comp = components(reduce(DataFrame.union, edges))
-        rest = large.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n", "s0", "s1", "s2", "s3")
+            found = found.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "lo", "hi"])
+            found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
+            sets = cut(found.repartition(shuffle_partitions(docs), "rep"))  # dealt by rep once, for all later joins
+        limit = NODE if level else LEAF
+        pairs = _exhaustive(held.where(F.col("size") <= limit), percent)
+        if top > limit:
+            large = held.where(F.col("size") > limit)
+            pairs = pairs.union(_stars(large, percent))
+        pairs = pairs.distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        links = cut(_confirmed(pairs, sets, percent))
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        if links.head(1):
+            comp = _merged(comp, links)
+        if top <= limit:
+            return comp
+        members = large.where(F.col("rep") != F.col("pivot")).select("key", "rep")
+        if 0 < level <= LEVELS:
+            members = _children(members, reps)
         level += 1
-        members = _children(rest, reps) if level < LEVELS else rest
+        release(docs.sparkSession)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
