@@ -97,18 +97,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, lo, hi and the set itself, ascending 8-byte hashes."""
+    """docs: doc_id, text, lo, hi.  rep and shingles (ascending 8-byte hashes) of the rows whose set lo and hi are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = [batch.column(c).to_numpy() for c in ("lo", "hi")]
             for block in W.blocks(batch.column("text"), W.SPACED, lower=True):
                 h, first = _shingles(block, size)
                 lo, hi = _sums(h, first)
-                ids = batch.column("doc_id").slice(block.rows.start, len(lo))
-                blobs = pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lo), pa.array(hi), blobs], ["doc_id", "lo", "hi", "shingles"])
+                same = np.flatnonzero((lo == wanted[0][block.rows]) & (hi == wanted[1][block.rows]))
+                ids = batch.column("doc_id").slice(block.rows.start, len(lo)).take(pa.array(same))
+                blobs = pa.array([h[first[i] : first[i + 1]].tobytes() for i in same], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, blobs], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, lo long, hi long, shingles binary")
+    return docs.select("doc_id", "text", "lo", "hi").mapInArrow(run, "rep long, shingles binary")
 
 
 def _first_nodes(reps: DataFrame) -> DataFrame:
@@ -228,6 +230,13 @@ def _stars(large: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("b.salt").alias("salt"))
 
 
+def _sets(docs: DataFrame, reps: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """rep, shingles of the representatives that can be compared, dealt by rep once for all later joins."""
+    wanted = ends.join(reps.select("rep", "lo", "hi"), "rep").withColumnRenamed("rep", "doc_id")
+    found = full_sets(docs.join(wanted, "doc_id"), size).repartition(shuffle_partitions(docs), "rep")
+    return cut(found.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+
+
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """rep, comp of the representatives that have a link; None without any."""
     comp, sets, tested, level = None, None, None, 0
@@ -237,12 +246,6 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
         top = held.agg(F.max("size")).first()[0]
         if top is None:
             return comp
-        if sets is None:
-            wanted = held.select("rep").distinct().join(reps.select("rep", "lo", "hi"), "rep")
-            found = full_sets(docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), size)
-            found = found.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "lo", "hi"])
-            found = found.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
-            sets = cut(found.repartition(shuffle_partitions(docs), "rep"))  # dealt by rep once, for all later joins
         limit = NODE if level else LEAF
         pairs = _exhaustive(held.where(F.col("size") <= limit), percent)
         if top > limit:
@@ -252,6 +255,11 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        if sets is None:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+            if top > limit:
+                ends = ends.union(large.select("rep"))
+            sets = _sets(docs, reps, ends.distinct(), size)
         links = cut(_confirmed(pairs, sets, percent))
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if links.head(1):
