@@ -131,7 +131,7 @@ def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray]) ->
             b -= rate / len(part) * p.sum(0)
             np.subtract.at(e, x, rate * 4 * v[:, None] * np.repeat(back, np.diff([*first, len(x)]), 0))
     table = e @ w
-    logits = np.array([shares[i] @ table[ids[i]] + b for i in np.flatnonzero(held)]).reshape(-1, k)
+    logits = np.array([shares[i] @ table[ids[i]] + b for i in np.flatnonzero(held)]).reshape(np.count_nonzero(held), k)
     temperature, least = _calibrate(logits, y[held])
     return Model(languages, table.astype(np.float32), b, temperature, least)
 

@@ -1,0 +1,201 @@
+"""Each operator on awkward rows, and against plain versions on small ones."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+from collections import defaultdict
+from urllib.parse import quote
+
+import pytest
+
+from lodestone.llm import decontaminate, html, language, mixing, near_dup, quality, repeats, secrets, toxicity, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, bucket long, key long, copy int"
+WORDS = "the of and was from with that this here there one two three four five six seven eight nine ten".split()
+
+
+def docs_of(spark, texts, ids=None):
+    """Documents with extra columns whose names clash with those that operators make."""
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 4}", len(t or ""), 0.5, 1, 2, 3, 4) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA)
+
+
+def awkward():
+    r = random.Random(5)
+    prose = [" ".join(r.choices(WORDS, k=40)) for _ in range(6)]
+    return [None, "", "  \n\t ", "one", prose[0], prose[0], prose[1] + "\n" + prose[2], prose[2], "é ü " * 30, " ".join(r.choices(WORDS, k=30000)), "12 34 !!", *prose]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = awkward()
+    return docs_of(spark, texts, [None, *range(1, len(texts) - 1), len(texts) - 2])
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("1 = 0")
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_toxicity(spark, docs, empty):
+    r = random.Random(1)
+    texts = [" ".join(r.choices(WORDS, k=30)) + (". Such a vile grumbot. " if k % 4 == 0 else ". ") + " ".join(r.choices(WORDS, k=30)) for k in range(300)]
+    train = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(train, labels)
+    got = {r.doc_id: r for r in toxicity.score(train, model).collect()}
+    wrong = [k for k in range(300) if got[k].predicted != int(k % 4 == 0)]
+    assert len(wrong) <= 6
+    found = got[8]
+    assert found.sentences and "grumbot" in texts[8][found.sentences[0]["start"] : found.sentences[0]["end"]]
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= x.score <= 1 for x in out) and next(x for x in out if x.doc_id == 1).score == 0
+    assert toxicity.keep_clean(train, model).columns == train.columns
+    assert toxicity.score(empty, toxicity.fit(empty, labels.where("1 = 0"))).count() == 0
+
+
+def test_repeats(docs, empty):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    least = {}
+    for i, t in rows:
+        w = split(t)
+        for k in range(len(w) - 12) if i is not None else ():
+            least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
+    expected = []
+    for i, t in rows:
+        w = split(t)
+        gone = {k + j for k in range(len(w) - 12) if i is not None and least[tuple(w[k : k + 13])] < i for j in range(13)}
+        expected.append((-1 if i is None else i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.deduplicate(docs).collect()]
+    assert sorted(got) == sorted(expected)
+    assert repeats.deduplicate(empty).count() == 0
+
+
+def test_near_duplicates(spark, docs, empty):
+    r = random.Random(2)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(500)}" for _ in range(60)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randrange(5)):
+                w[r.randrange(60)] = "x"
+            texts.append(" ".join(w))
+    small = docs_of(spark, texts)
+    sets = [set(zip(w, w[1:])) for w in map(split, texts)]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.link(small, 2, 80).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i in range(len(texts))}
+    kept = near_dup.keep_one(small, 2, 80)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(comp)) and kept.columns == small.columns
+    out = near_dup.link(docs, 2, 80).collect()
+    assert len(out) == docs.count() and {x.component_id for x in out if x.n_shingles == 0} == {None, 1, 2}
+    assert near_dup.link(empty, 2, 80).count() == 0
+
+
+def test_secrets(spark, docs, empty):
+    plain = "api_key = abcdefghijklmnop"
+    assert secrets.base_spans("PASSWORD: 'hunter2hunter2'") == [(0, 0, 25)]
+    assert secrets.base_spans("token=short AKIA1234 deadbeef") == []
+    layers = [quote(plain, safe=""), base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode())).decode(), "".join(f"\\u{ord(c):04x}" for c in plain), base64.b64encode(quote(plain, safe="").encode()).decode()]
+    for layer in layers:
+        text = f"see {layer} there"
+        assert (4, 0, 4 + len(layer)) in secrets.all_spans(text), layer
+        assert secrets.redacted(text) == "see [REDACTED] there"
+    out = secrets.scan(docs).collect()
+    assert len(out) == docs.count() and secrets.scan(empty).count() == 0
+    assert secrets.redact(docs).schema == docs.schema and secrets.redact(docs).count() == docs.count()
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, " ".join(WORDS)), (2, "Two; THREE"), (3, None), (4, ""), (None, "unheard"), (5, "two three")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = lambda t: re.findall(word, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    patterns = defaultdict(set)
+    for i, t in items:
+        w = low(t)
+        m = min(10, len(w))
+        for k in range(len(w) - m + 1 if w else 0):
+            patterns[tuple(w[k : k + m])].add(str(i))
+    expected = []
+    for r in docs.collect():
+        w, hit, named = low(r.text), set(), set()
+        for p, ids in patterns.items():
+            for k in range(len(w) - len(p) + 1):
+                if w[k] == p[0] and tuple(w[k : k + len(p)]) == p:
+                    hit.update(range(k, k + len(p)))
+                    named |= ids - {"None"}
+        expected.append((str(r.doc_id), len(w), len(hit), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()))
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in decontaminate.annotate(docs, benchmark).collect())
+    assert got == sorted(expected)
+    old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 5
+    try:
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in decontaminate.annotate(docs, benchmark).collect()) == got
+    finally:
+        decontaminate.BLOCK_WORDS = old
+    assert decontaminate.annotate(empty, benchmark).count() == 0 and decontaminate.annotate(docs, benchmark.where("1 = 0")).where("contaminated").count() == 0
+
+
+def test_html():
+    page = "<head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div id=main><h1>Big &amp; old</h1><p>One, two.  Three\nfour, five.<p>Six.<br>Seven<script>p</script></div><div class='side sidebar'><p>No, not this. Never, ever.</p></div><section id=comments><p>Reader, says this.</p></section>"
+    assert html.main_text(page) == "Big & old\n\nOne, two. Three four, five.\n\nSix. Seven"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<p></p><!-- x") == ""
+    assert html.main_text("plain text") == "plain text"
+
+
+def test_language(spark, docs, empty):
+    r = random.Random(3)
+    kinds = {"en": "the of and ing tion".split(), "de": "der und sch keit nicht".split()}
+    rows = [(i, " ".join("".join(r.choices(kinds[k], k=2)) for _ in range(20)), k) for i, k in enumerate(["en", "de"] * 80)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train)
+    got = {x.doc_id: x for x in language.predict(train, model).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in rows)
+    out = {x.doc_id: x for x in language.predict(docs, model).collect()}
+    assert out[1].lang_pred == "und" and out[2].lang_pred == "und" and out[None].score == 0 and out[10].lang_pred == "und"
+    assert language.predict(empty, language.fit(empty)).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    plan = mixing.mix(mixing.sized(docs)).collect()
+    assert len(plan) == docs.count() and all(x.taken in (0, x.size, 2 * x.size) for x in plan)
+    assert sum(x.taken for x in plan) <= 1.5 * sum(x.size for x in plan)
+    assert mixing.mix(mixing.sized(empty)).count() == 0 and mixing.draw(docs).count() == sum(x.copies for x in plan)
+    assert sorted(map(str, mixing.mix(mixing.sized(docs)).collect())) == sorted(map(str, plan))
+
+
+def test_urls(spark):
+    given = ["http://A.Example.NET/en/1?q", "https://x.net", "ftp://b.example.com/de/#f", "http://q.org/fr/", "no scheme", None, "http://free-casino.example.com/slots", "http://notnet/"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1][:3] == ("x.net", "", None)
+    assert got[2] == ("b.example.com", "/de/", "example.com/de/", "block") and got[3][2:] == ("org/fr/", "allow")
+    assert got[4][:3] == got[5][:3] == ("", "", None) and got[6][3] == "block" and got[7][2] is None
+
+
+def test_quality(docs, empty):
+    expected = []
+    for r in docs.collect():
+        w, lines = split(r.text), [x for x in (r.text or "").split("\n") if split(x)]
+        seen = defaultdict(list)
+        for k in range(len(w) - 4):
+            seen[tuple(w[k : k + 5])].append(k)
+        again = {k + j for ks in seen.values() if len(ks) > 1 for k in ks for j in range(5)}
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        expected.append((str(r.doc_id), len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again), failed))
+    got = quality.measure(docs).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.word_chars, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in got) == sorted(expected)
+    assert not any(x.kept and x.base_failed for x in got) and any(x.kept for x in got)
+    assert quality.measure(empty).count() == 0
