@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more: it acts on the
-    collection of their handles, which a driver with little garbage would put off."""
+def store(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again.
+
+    Unlike after cut(), its estimated size is that of its files: estimates of checkpoints carry over, and through
+    the joins of a loop they grow to numbers of millions of digits."""
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    kept = df.sparkSession.read.schema(df.schema).parquet(folder)
+    kept.stored_in = folder
+    return kept
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing reads any more.
+
+    Spark's cleaner then drops shuffles that nothing refers to: it acts on the collection of their handles, which a
+    driver with little garbage would put off."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if stored:
+        spark._jvm.System.gc()
 
 
 def fold(id_column: str = "doc_id", parts: int = 5):

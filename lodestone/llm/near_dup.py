@@ -5,17 +5,17 @@ class, found by grouping, and only a class's smallest doc_id, its representative
 
 Each of TREES independent trees branches representatives by minwise tokens: a node's children are made by
 coordinates that a hash of the node chooses, 1 / similarity of them a level on average, and a set goes to the
-child of its minwise token there.  The first two levels of all trees are made at once, later ones STEP at a
-time, along two paths.  A node of at most LEAF members is compared exhaustively at once.  In a larger one a
-pivot is compared with all others first and leaves, which joins most of a group of copies; then, if at most
-NODE members are left, those of different components are compared, by sketches first; else the node branches.
-Below LEVELS steps nodes no longer branch but go on losing pivots until nothing is left to compare, so large
-nodes are never cut.  Pairs that are already in one component are not compared, so a group of n near copies
-costs about n comparisons.
+child of its minwise token there.  The first two levels of all trees are made at once.  There a node of at most LEAF members
+is compared exhaustively; in a larger one a pivot is compared with all others and leaves, which joins most of a
+group of copies.  Large nodes are then looked at again: the few members outside a node's largest component are
+compared with all its members, in blocks to which each set is shipped once.  Where those are not few, a pivot is
+compared again and the node branches, STEP levels at a time along two paths.  Below LEVELS steps nodes no longer
+branch but go on losing pivots, so large nodes are never cut.  Members of one component are not compared, so a
+group of n near copies costs about n comparisons.
 
 A pair at the threshold meets in one tree's first two levels with probability 0.64, in any of 16 trees with
 1 - 1e-7.  Pairs whose sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the
-threshold are skipped; all others are confirmed on the full sets, which are built for members of nodes only.
+threshold are skipped; all others are confirmed on the full sets, which are built for what such pairs hold only.
 Components come from label propagation with pointer jumping over the confirmed links.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and are their own
@@ -33,13 +33,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, release, shuffle_partitions
+from .common import release, shuffle_partitions, store
 
-TREES, COORDINATES, LEAF, NODE, STEP, LEVELS = 16, 64, 24, 128, 3, 6
+TREES, COORDINATES, LEAF, STEP, LEVELS = 16, 64, 24, 3, 6
 #: Coordinates of 64 that may differ: at a similarity of 0.8 the mean is 12 and the deviation 3.1.
 MOST_DIFFERENT = 28
 #: Members of a node that one copy of its pivot's set serves.
 SERVED = 256
+#: Members outside a node's largest component, and shingles in their sets, that are compared with all of the node.
+FEW, FEW_SHINGLES = 512, 1 << 22
+#: Shingles in the sets of a block of a node's members.
+BLOCK_SHINGLES = 1 << 20
+#: Representatives whose texts are picked by a broadcast table of ids; more are joined by a shuffle.
+BROADCAST = 200_000
 
 _U = np.uint64
 _SEEDS = W.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -116,7 +122,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 def _first_nodes(reps: DataFrame) -> DataFrame:
     """Members of the nodes two levels down every tree."""
     keys = F.array(*[F.xxhash64(F.lit(t), F.substr("mins", F.lit(8 * t + 1), F.lit(8))) for t in range(TREES)])
-    return reps.select(F.explode(keys).alias("key"), "rep")
+    return reps.select(F.explode(keys).alias("key"), "rep", "n")
 
 
 def _children(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def _children(members: DataFrame, reps: DataFrame) -> DataFrame:
         return F.xxhash64("key", F.lit(path), *[F.substr("mins", p * 4 + 1, F.lit(4)) for p in places])
 
     wide = members.join(reps.select("rep", "mins"), "rep")
-    return wide.select(F.explode(F.array(key(0), key(1))).alias("key"), "rep")
+    return wide.select(F.explode(F.array(key(0), key(1))).alias("key"), "rep", "n")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -164,29 +170,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """rep, comp: the smallest member that each end of an edge reaches."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
+    both = store(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = store(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.lit(True).alias("moved")))
+    while labels.where("moved").head(1):
         near = both.join(labels.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("low"))
         lower = labels.join(near, "rep").select("rep", "comp", F.least("comp", "low").alias("low"))
         jump = labels.select(F.col("rep").alias("low"), F.col("comp").alias("far"))
-        after = cut(lower.join(jump, "low").select("rep", F.least("low", "far").alias("comp"), (F.least("low", "far") < F.col("comp")).alias("moved")))
-        labels = after.select("rep", "comp")
-        if not after.where("moved").head(1):
-            return labels
+        before, least = labels, F.least("low", "far")
+        labels = store(lower.join(jump, "low").select("rep", least.alias("comp"), (least < F.col("comp")).alias("moved")))
+        release(before)
+    release(both)
+    return labels
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text.  One row for each: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(signatures(docs, size))
+    rows = store(signatures(docs, size))
     sets = rows.where("n > 0 and doc_id is not null")
     reps = sets.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "n", "s0", "s1", "s2", "s3", "mins")).alias("r"))
-    reps = cut(reps.select("lo", "hi", F.col("r.doc_id").alias("rep"), *[F.col(f"r.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "mins")]))
+    reps = store(reps.select("lo", "hi", F.col("r.doc_id").alias("rep"), *[F.col(f"r.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "mins")]))
     comp = _linked(docs, reps, size, percent)
     classes = reps.select("lo", "hi", "rep")
     if comp is not None:
-        classes = classes.join(comp, "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("rep"))
+        classes = classes.join(comp.select("rep", "comp"), "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("rep"))
     found = rows.select("doc_id", "n", "lo", "hi").join(classes, ["lo", "hi"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -194,26 +201,36 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _open(members: DataFrame, reps: DataFrame, comp: DataFrame | None, level: int) -> DataFrame:
-    """Members of the nodes that still have something to compare, with their sketch and component, the node's size and pivot."""
-    if comp is not None:
-        members = members.join(comp, "rep", "left").withColumn("c", F.coalesce("comp", "rep")).drop("comp")
-    else:
+    """Members (key, rep, n) of the nodes that still have something to compare, with their sketch and component c.
+
+    Of the node: size and volume (shingles), main (its largest component), few and few_volume (what lies outside
+    of main) and pivot."""
+    pivot = F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("rep"))).alias("pivot")
+    if comp is None:
         members = members.withColumn("c", F.col("rep"))
-    nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("rep"))).alias("pivot"))
-    nodes = nodes.where("low < high").select("key", "size", F.col("pivot.rep").alias("pivot"))
-    return cut(members.join(nodes, "key").join(reps.select("rep", "n", "s0", "s1", "s2", "s3"), "rep"))
+        nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), pivot)
+        nodes = nodes.where("size > 1").select("*", F.col("pivot.rep").alias("main"), (F.col("size") - 1).alias("few"), F.col("volume").alias("few_volume"))
+    else:
+        members = members.join(comp.select("rep", "comp"), "rep", "left").withColumn("c", F.coalesce("comp", "rep")).drop("comp")
+        parts = members.groupBy("key", "c").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), pivot)
+        most = F.max(F.struct("size", "volume", "c")).alias("most")
+        nodes = parts.groupBy("key").agg(F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.min("pivot").alias("pivot"), most)
+        nodes = nodes.where("size > most.size").select("key", "size", "volume", "pivot", F.col("most.c").alias("main"), (F.col("size") - F.col("most.size")).alias("few"), (F.col("volume") - F.col("most.volume")).alias("few_volume"))
+    nodes = nodes.withColumn("pivot", F.col("pivot.rep"))
+    return store(members.join(nodes, "key").join(reps.select("rep", "s0", "s1", "s2", "s3"), "rep"))
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after new links, which are followed between components only."""
+    """rep, comp after new links, which are followed between components only."""
     if comp is None:
         return components(links)
     of = lambda end: comp.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     moves = components(between.where("a <> b").distinct())
-    every = comp.union(moves.select("rep", F.col("rep").alias("comp"))).groupBy("rep").agg(F.min("comp").alias("old"))
-    moves = moves.select(F.col("rep").alias("old"), F.col("comp").alias("new"))
-    return cut(every.join(moves, "old", "left").select("rep", F.coalesce("new", "old").alias("comp")))
+    every = comp.select("rep", "comp").union(moves.select("rep", F.col("rep").alias("comp"))).groupBy("rep").agg(F.min("comp").alias("old"))
+    after = store(every.join(moves.select(F.col("rep").alias("old"), F.col("comp").alias("new")), "old", "left").select("rep", F.coalesce("new", "old").alias("comp")))
+    release(comp, moves)
+    return after
 
 
 def _exhaustive(small: DataFrame, percent: int) -> DataFrame:
@@ -230,54 +247,119 @@ def _stars(large: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("b.salt").alias("salt"))
 
 
+def _blocks(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of nodes dealt into blocks, and to each block all those outside the node's largest component."""
+    copies = F.ceil(F.greatest(F.col("size") / SERVED, F.col("volume") / BLOCK_SHINGLES)).cast("long")
+    every = held.withColumn("block", F.pmod(F.xxhash64("rep"), copies))
+    few = held.where("c <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    return every, few
+
+
+def _comparable(every: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Of each block the members, and those outside, that sizes and sketches leave something to compare with."""
+
+    def alone(left: DataFrame, right: DataFrame, outside: bool) -> DataFrame:
+        x, y = left.alias("x"), right.alias("y")
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y", percent)
+        return x.join(y, met, "left_semi").select("key", "block", F.lit(outside).alias("outside"), "rep", "c", "n", "s0", "s1", "s2", "s3")
+
+    return alone(every, few, False).union(alone(few, every, True))
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: of each block links that join its components wherever a pair of sets reaches the threshold."""
+    ones = _U(0x1111111111111111)
+
+    def run(block: pa.Table) -> pa.Table:
+        outside = block.column("outside").to_numpy()
+        rep, c, n = (block.column(k).to_numpy() for k in ("rep", "c", "n"))
+        sketch = np.stack([block.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
+        held = [np.frombuffer(v.as_py(), np.uint64) for v in block.column("shingles")]
+        inner = np.flatnonzero(~outside)
+        group = c.copy()
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(outside):
+            x = sketch[inner] ^ sketch[i]
+            x |= x >> _U(1)
+            x |= x >> _U(2)
+            differ = np.bitwise_count(x & ones).sum(1)
+            like = (differ <= MOST_DIFFERENT) & (100 * np.minimum(n[inner], n[i]) >= percent * np.maximum(n[inner], n[i]))
+            left, step = inner[like], 8
+            while True:
+                left = left[group[left] != group[i]]
+                if not len(left):
+                    break
+                now, left = left[:step], left[step:]
+                step *= 4
+                values = np.concatenate([held[j] for j in now])
+                at = np.searchsorted(held[i], values)
+                at[at == len(held[i])] = 0
+                common = np.add.reduceat((held[i][at] == values).astype(np.int64), np.cumsum(n[now]) - n[now])
+                for j in now[100 * common >= percent * (n[now] + n[i] - common)]:
+                    if group[j] != group[i]:
+                        group[group == group[j]] = group[i]
+                        found.append((int(rep[i]), int(rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.join(sets, "rep").groupBy("key", "block").applyInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """rep, shingles of the representatives that can be compared, dealt by rep once for all later joins."""
-    wanted = ends.join(reps.select("rep", "lo", "hi"), "rep").withColumnRenamed("rep", "doc_id")
-    found = full_sets(docs.join(wanted, "doc_id"), size).repartition(shuffle_partitions(docs), "rep")
-    return cut(found.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    """rep, shingles of the representatives in ends, dealt by rep once for all joins of a round."""
+    wanted = store(ends.distinct().join(reps.select("rep", "lo", "hi"), "rep").withColumnRenamed("rep", "doc_id"))
+    few = wanted.count() <= BROADCAST
+    found = full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id"), size).repartition(shuffle_partitions(docs), "rep")
+    sets = store(found.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    release(wanted)
+    return sets
 
 
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """rep, comp of the representatives that have a link; None without any."""
-    comp, sets, tested, level = None, None, None, 0
+    comp, level, before = None, 0, None
     members = _first_nodes(reps)
     while True:
         held = _open(members, reps, comp, level)
-        top = held.agg(F.max("size")).first()[0]
-        if top is None:
+        if before is not None:
+            release(before)
+        done = (F.col("size") <= LEAF) if level == 0 else (F.col("few") <= FEW) & (F.col("few_volume") <= FEW_SHINGLES)
+        ready, large = held.where(done), held.where(~done)
+        rows, more = held.agg(F.count("*"), F.max(~done)).first()
+        if not rows:
             return comp
-        limit = NODE if level else LEAF
-        pairs = _exhaustive(held.where(F.col("size") <= limit), percent)
-        if top > limit:
-            large = held.where(F.col("size") > limit)
-            pairs = pairs.union(_stars(large, percent))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if sets is None:
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-            if top > limit:
-                ends = ends.union(large.select("rep"))
-            sets = _sets(docs, reps, ends.distinct(), size)
-        links = cut(_confirmed(pairs, sets, percent))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        pairs = _exhaustive(ready, percent) if level == 0 else None
+        if more:
+            stars = _stars(large, percent)
+            pairs = stars if pairs is None else pairs.union(stars)
+        blocks = store(_comparable(*_blocks(ready), percent)) if level else None
+        ends = None if blocks is None else blocks.select("rep")
+        if pairs is not None:
+            pairs = store(pairs.groupBy("a", "b").agg(F.min("salt").alias("salt")))
+            both = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+            ends = both if ends is None else ends.union(both)
+        sets = _sets(docs, reps, ends, size)
+        links = None if pairs is None else _confirmed(pairs, sets, percent)
+        if blocks is not None:
+            inner = _block_links(blocks, sets, percent)
+            links = inner if links is None else links.union(inner)
+        links = store(links)
         if links.head(1):
             comp = _merged(comp, links)
-        if top <= limit:
+        release(*[x for x in (pairs, blocks, sets, links) if x is not None])
+        if not more:
+            release(held)
             return comp
-        members = large.where(F.col("rep") != F.col("pivot")).select("key", "rep")
+        members = large.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n")
         if 0 < level <= LEVELS:
             members = _children(members, reps)
-        level += 1
-        release(docs.sparkSession)
+        before, level = held, level + 1
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns unchanged, without those whose component has a smaller doc_id.
 
     Of rows that share a doc_id one stays, that of the smallest text; rows with a null doc_id stay."""
-    found = cut(link(docs, size, percent).where("doc_id is not null"))
+    found = store(link(docs, size, percent).where("doc_id is not null"))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     again = found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")

@@ -104,6 +104,31 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.link(empty, 2, 80).count() == 0
 
 
+@pytest.mark.parametrize("few", [512, 3])
+def test_near_duplicates_in_large_nodes(spark, monkeypatch, few):
+    """A group beyond LEAF and SERVED, with members about the threshold: compared in blocks, or by pivots and branches."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "SERVED", 64)
+    r = random.Random(7)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    texts = []
+    for k in range(240):
+        w = list(base)
+        for j in r.sample(range(60), r.randrange(4) if k % 8 else 4):
+            w[j] = f"x{k}"
+        texts.append(" ".join(w))
+    sets = [set(zip(w, w[1:])) for w in map(split, texts)]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    assert len(set(comp)) > 10
+    found = near_dup.link(docs_of(spark, texts), 2, 80).collect()
+    assert {x.doc_id: x.component_id for x in found} == dict(enumerate(comp))
+
+
 def test_secrets(spark, docs, empty):
     plain = "api_key = abcdefghijklmnop"
     assert secrets.base_spans("PASSWORD: 'hunter2hunter2'") == [(0, 0, 25)]
