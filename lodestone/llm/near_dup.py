@@ -44,6 +44,8 @@ SERVED = 256
 FEW, FEW_SHINGLES = 512, 1 << 22
 #: Shingles in the sets of a block of a node's members.
 BLOCK_SHINGLES = 1 << 20
+#: Bytes of text that are turned into shingles at once.
+TEXT_BYTES = 1 << 19
 #: Representatives whose texts are picked by a broadcast table of ids; more are joined by a shuffle.
 BROADCAST = 200_000
 
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in W.blocks(batch.column("text"), W.SPACED, lower=True):
+            for block in W.blocks(batch.column("text"), W.SPACED, lower=True, limit=TEXT_BYTES):
                 h, first = _shingles(block, size)
                 n = np.diff(first)
                 lo, hi = _sums(h, first)
@@ -108,7 +110,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = [batch.column(c).to_numpy() for c in ("lo", "hi")]
-            for block in W.blocks(batch.column("text"), W.SPACED, lower=True):
+            for block in W.blocks(batch.column("text"), W.SPACED, lower=True, limit=TEXT_BYTES):
                 h, first = _shingles(block, size)
                 lo, hi = _sums(h, first)
                 same = np.flatnonzero((lo == wanted[0][block.rows]) & (hi == wanted[1][block.rows]))
