@@ -111,20 +111,18 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in W.blocks(batch.column("text"), W.LETTER, lower=True):
-                ids, sentence = _features(block)
-                rows = range(block.rows.start, block.rows.stop)
-                cuts = [slice(a, b) for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("y").take(pa.array(rows)), pa.array([ids[c].tobytes() for c in cuts], pa.binary()), pa.array([(sentence[c] - sentence[c][:1]).astype(np.int32).tobytes() for c in cuts], pa.binary())], ["doc_id", "y", "ids", "sentence"])
-
-    sample = _sample(docs, labels, bound).select("doc_id", "y", "text")
-    rows = sample.mapInArrow(featurise, "doc_id long, y double, ids binary, sentence binary").toArrow().sort_by("doc_id")
-    y = rows["y"].to_numpy()
-    ids = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"].to_pylist()]
-    sentence = [np.frombuffer(x, np.int32) for x in rows["sentence"].to_pylist()]
-    return train(y, ids, sentence)
+    rows = _sample(docs, labels, bound).select("doc_id", "y", "text").toArrow()
+    order, y = np.argsort(rows["doc_id"].to_numpy(), kind="stable"), rows["y"].to_numpy()
+    ids, sentence = [], []
+    for chunk in rows["text"].chunks:
+        for block in W.blocks(chunk, W.LETTER, lower=True):
+            x, s = _features(block)
+            for a, b in zip(block.first[:-1], block.first[1:], strict=True):
+                ids.append(x[a:b])
+                sentence.append((s[a:b] - s[a:b][:1]).astype(np.int32))
+    del rows
+    pa.default_memory_pool().release_unused()
+    return train(y[order], [ids[i] for i in order], [sentence[i] for i in order])
 
 
 def _start(y: np.ndarray, ids: list[np.ndarray], size: int) -> np.ndarray:
