@@ -288,6 +288,18 @@ def meta_json_roundtrip(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@_query("""WITH RECURSIVE items AS (SELECT conv_id, turn // 2 AS rank, turn AS piece, role = 'system' AS whole, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE text IS NOT NULL),
+fold AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS used, false AS took, false AS got, false AS stop, CAST(-1 AS BIGINT) AS shut, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS piece, CAST(0 AS BIGINT) AS tokens FROM items WHERE n = 1
+UNION ALL SELECT conv_id, n, CAST(CASE WHEN NOT closed AND NOT over THEN total + tokens ELSE total END AS BIGINT), CAST(total AS BIGINT), NOT closed AND NOT over, got OR (NOT closed AND NOT over), stop OR (NOT closed AND over AND whole), CAST(CASE WHEN NOT closed AND over AND NOT whole THEN rank ELSE shut END AS BIGINT), CAST(rank AS BIGINT), CAST(piece AS BIGINT), tokens
+FROM (SELECT i.conv_id, i.n, f.total, f.got, f.stop, f.shut, i.rank, i.piece, i.tokens, i.whole, f.stop OR f.total >= 200 OR (NOT i.whole AND f.shut = i.rank) AS closed, f.got AND f.total + i.tokens > 200 AS over FROM fold f JOIN items i ON i.conv_id = f.conv_id AND i.n = f.n + 1) s)
+SELECT conv_id, rank, piece, tokens, used FROM fold WHERE took""")
+def budget_fold(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").where("text is not null")
+    pieces = turns.select("conv_id", F.floor(F.col("turn") / 2).alias("rank"), F.col("turn").alias("piece"), (F.col("role") == "system").alias("whole"), T.token_estimate(F.col("text")).alias("tokens"))
+    return relational.budget_fold(pieces, "conv_id", 200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

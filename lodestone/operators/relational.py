@@ -40,3 +40,29 @@ def best_per(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """group and the tie column and score of its best row, the smallest tie first; one aggregate, no window."""
     best = F.max_by(F.struct(score, tie), F.struct(F.col(score), -F.col(tie)))
     return rows.groupBy(group).agg(best.alias("b")).select(group, F.col(f"b.{tie}").alias(tie), F.col(f"b.{score}").alias(score))
+
+
+def budget_fold(pieces: DataFrame, group: str, budget: int) -> DataFrame:
+    """group, rank, piece, tokens, used: the pieces that a token budget admits, and the tokens used before each.
+
+    pieces: group, rank (of the file), piece (its place there), whole (whether it is the whole file), tokens.  They
+    are taken by rank and piece while less than the budget is used; a group's first piece always fits.  A whole file
+    that does not fit ends the group, a range that does not fit only its file.  A group is one ranked list, which
+    the fold holds in one row."""
+    item = F.struct(F.col("rank").cast("long").alias("rank"), F.col("piece").cast("long").alias("piece"), "whole", F.col("tokens").cast("long").alias("tokens"))
+
+    def step(state: Column, x: Column) -> Column:
+        closed = state["stop"] | (state["used"] >= budget) | (~x["whole"] & state["shut"].eqNullSafe(x["rank"]))
+        over = (F.size(state["taken"]) > 0) & (state["used"] + x["tokens"] > budget)
+        take, refused = ~closed & ~over, ~closed & over
+        row = F.struct(x["rank"].alias("rank"), x["piece"].alias("piece"), x["tokens"].alias("tokens"), state["used"].alias("used"))
+        return F.struct(
+            F.when(take, state["used"] + x["tokens"]).otherwise(state["used"]).alias("used"),
+            (state["stop"] | (refused & x["whole"])).alias("stop"),
+            F.when(refused & ~x["whole"], x["rank"]).otherwise(state["shut"]).alias("shut"),
+            F.when(take, F.concat(state["taken"], F.array(row))).otherwise(state["taken"]).alias("taken"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("stop"), F.lit(None).cast("long").alias("shut"), F.from_json(F.lit("[]"), "array<struct<rank: long, piece: long, tokens: long, used: long>>").alias("taken"))
+    listed = pieces.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return listed.select(group, F.inline(F.aggregate("items", start, step, lambda s: s["taken"])))

@@ -51,3 +51,11 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("a" * 201 + "\nb", " x  y ", "p/q/r.ts", 1280)], "s string, i string, p string, n long")
     got = df.select(T.signature(F.col("s")), T.intent(F.col("i")), T.short_path(F.col("p")), T.human_bytes(F.col("n")), T.token_estimate(F.lit("abcde"))).first()
     assert tuple(got) == ("a" * 200 + "...", "x y", "q/r.ts", "1.3 KB", 2)
+
+
+def test_budget_ends_at_a_whole_file_but_only_the_file_of_a_range(spark):
+    pieces = spark.createDataFrame([
+        ("a", 1, 1, True, 9), ("a", 2, 1, True, 3),
+        ("b", 1, 1, False, 4), ("b", 1, 2, False, 9), ("b", 1, 3, False, 1), ("b", 2, 1, True, 2), ("b", 3, 1, True, 8), ("b", 4, 1, True, 1),
+    ], "task string, rank int, piece int, whole boolean, tokens int")
+    assert rows(relational.budget_fold(pieces, "task", 8)) == [("a", 1, 1, 9, 0), ("b", 1, 1, 4, 0), ("b", 2, 1, 2, 4)]
