@@ -31,8 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again.
 
-    Unlike after cut(), its estimated size is that of its files: estimates of checkpoints carry over, and through
-    the joins of a loop they grow to numbers of millions of digits."""
+    Unlike after cut(), its estimated size is that of its files: estimates of checkpoints carry over, and a join
+    multiplies them, so in a loop their length doubles from round to round."""
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     kept = df.sparkSession.read.schema(df.schema).parquet(folder)
