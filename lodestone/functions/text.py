@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 #: Accented letters and what they fold to.
 ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-#: Words of a question that name nothing; only words of more than three letters are looked up.
-STOP_WORDS = "about after also because before could does each even ever from have into just like make many more most much only other over same should some such than that their them then there these they this those through under very want were what when where which while will with would your".split()
+#: Words of a question that name nothing; only words of more than three letters are looked up.
+STOP_WORDS = (
+    "the and for are but not you all can had her was one our out has have been this that with they from will what when make like time "
+    "just know take come could than look only into over such also some more very does then them would about which there their should each file "
+    "code function import export const class type interface return async await void null undefined true false need want find show help using where how"
+).split()
 
 
 def tokens(text: Column) -> Column:
