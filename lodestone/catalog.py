@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import code_queries
 from .functions import text as T
 from .operators import graph, relational, search
 
@@ -200,7 +201,7 @@ def edge_delete_cascade(spark, sf_dir):
 
 
 @_query(f"""WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node)
-SELECT p_partkey AS node, p_name AS label, degree, greatest(5.0, least(22.0, 6 + 1.5 * degree)) AS radius FROM part JOIN d ON p_partkey = node""")
+SELECT p_partkey AS node, p_name AS label, degree, CAST(greatest(5.0, least(22.0, 6 + 1.5 * degree)) AS DOUBLE) AS radius FROM part JOIN d ON p_partkey = node""")
 def visual_graph_nodes(spark, sf_dir):
     nodes = graph.degree(import_graph(spark, sf_dir)).join(_table(spark, sf_dir, "part"), F.col("node") == F.col("p_partkey"))
     return nodes.select("node", F.col("p_name").alias("label"), "degree", T.clamp(6 + 1.5 * F.col("degree"), 5.0, 22.0).alias("radius"))
@@ -301,8 +302,8 @@ def budget_fold(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | code_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | code_queries.SQL
