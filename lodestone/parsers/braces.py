@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from .lexer import Code, distinct, exported, imported, split_top, without_generics
 
@@ -403,8 +404,20 @@ def c_language(c: Code) -> dict:
             open_.append(m.start())
         elif open_:
             hidden.append((open_.pop(), m.end()))
+    # A guard around the whole file hides nothing.
     guard = re.match(r"\s*\#[ \t]*ifndef\s+(\w+)\s+\#[ \t]*define\s+\1\b", c.lines)
-    inside = lambda at: any(lo < at < hi for lo, hi in hidden if not (guard and lo <= guard.start() + len(guard.group()) and lo == min(h[0] for h in hidden)))
+    hidden.sort()
+    if guard and hidden:
+        del hidden[0]
+    outer: list[tuple[int, int]] = []
+    for lo, hi in hidden:
+        if not outer or lo > outer[-1][1]:
+            outer.append((lo, hi))
+    starts = [lo for lo, _ in outer]
+
+    def inside(at: int) -> bool:
+        i = bisect_left(starts, at) - 1
+        return i >= 0 and at < outer[i][1]
 
     for start, head, brace, end in c.statements(0, len(c.code), r"^\s*(?:typedef\b|(?:static\s+|const\s+|extern\s+)*(?:struct|enum|union)\b[^()]*\Z)"):
         text, whole = c.code[start:head], c.code[start:end]

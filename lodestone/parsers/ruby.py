@@ -40,9 +40,19 @@ def ruby(c: Code) -> dict:
         if block.get("make"):
             rows.append((block["start"], block["make"](end)))
 
+    listed = list(re.finditer(r"^[ \t]*(attr_(?:accessor|reader|writer))\b([^\n]*(?:,[ \t]*\n[^\n]*)*)", c.code, re.M))[::-1]
+
+    def attributes(before: int) -> None:
+        """Properties that are listed before an offset, in the class that is open there."""
+        while listed and listed[-1].start(1) < before:
+            m, owner = listed.pop(), enclosing()
+            for name in re.findall(r":(\w+[?!]?)", m[2]):
+                rows.append((m.start(1), c.symbol("property", f"{owner}.{name}" if owner else name, m.start(1), m.start(2) + len(m[2].rstrip()))))
+
     loop_line = None  # a `do` after while, until or for on its line belongs to that keyword
     for m in _TOKEN.finditer(c.code):
         word, at = m.group(), m.start()
+        attributes(at)
         if word == "end":
             if blocks:
                 close(blocks.pop(), m.end())
@@ -84,22 +94,12 @@ def ruby(c: Code) -> dict:
             if word in ("while", "until", "for"):
                 loop_line = at
             blocks.append({"kind": word, "start": at, "name": None})
+    attributes(len(c.code))
     while blocks:
         close(blocks.pop(), len(c.code.rstrip()))
 
-    owners = sorted(((s, r) for s, r in rows if r["kind"] in ("class", "module")), key=lambda x: x[0])
-
-    def owner_at(at: int) -> str | None:
-        line = c.position(at)
-        inner = [r["name"] for s, r in owners if s < at and (r["end_line"], r["end_col"]) > line]
-        return inner[-1] if inner else None
-
     for m in re.finditer(r"^[ \t]*([A-Z]\w*)[ \t]*(?:\|\|)?=(?![=~>])", c.code, re.M):
         line_end = c.code.find("\n", m.end())
         rows.append((m.start(1), c.symbol("constant", m[1], m.start(1), len(c.code) if line_end < 0 else line_end)))
-    for m in re.finditer(r"^[ \t]*(attr_(?:accessor|reader|writer))\b([^\n]*(?:,[ \t]*\n[^\n]*)*)", c.code, re.M):
-        owner = owner_at(m.start(1))
-        for name in re.findall(r":(\w+[?!]?)", m[2]):
-            rows.append((m.start(1), c.symbol("property", f"{owner}.{name}" if owner else name, m.start(1), m.start(2) + len(m[2].rstrip()))))
     symbols = [r for _, r in sorted(rows, key=lambda x: x[0])]
     return {"imports": imports, "exports": exports, "symbols": symbols}

@@ -142,6 +142,11 @@ def test_c():
     assert "add" not in exports(source, "c")
 
 
+def test_c_conditionals_hide_but_a_guard_does_not():
+    source = "#ifndef A_H\n#define A_H\nint a(void);\n#ifdef X\nint hidden(void);\n#if Y\nint deeper(void);\n#endif\n#endif\nint b(void);\n#endif\n"
+    assert symbols(source, "c") == [("constant", "A_H"), ("function", "a"), ("function", "b")]
+
+
 def test_cpp():
     source = '#include <vector>\nclass Base { public: virtual void foo() = 0; };\nclass Derived : public Base, public ILog<int> { public: void foo() override {} struct In { void q() {} }; };\nnamespace Math { int add(int a) { return a; } }\ntemplate<typename T> class Box { public: T value; };\nenum class Color { Red };\nusing S = std::string; static int hid = 1;\nint Derived::bar(int x) const { return 1; }\nextern "C" { void cfun(); }\n'
     assert symbols(source, "cpp") == [("class", "Base"), ("class", "Derived"), ("method", "Derived::foo"), ("struct", "Derived::In"), ("method", "Derived::In::q"), ("namespace", "Math"), ("function", "add"), ("class", "Box"), ("enum", "Color"), ("type", "S"), ("variable", "hid"), ("method", "Derived::bar"), ("function", "cfun")]
