@@ -3,18 +3,17 @@
 A document's set is its distinct shingles of `size` words (64-bit hashes).  Documents of equal sets are one
 class, found by grouping, and only a class's smallest doc_id, its representative, goes on.
 
-Each of TREES independent trees branches representatives by minwise tokens: a node's children are made by
-coordinates that a hash of the node chooses, 1 / similarity of them a level on average, and a set goes to the
-child of its minwise token there.  The first two levels of all trees are made at once.  There a node of at most LEAF members
-is compared exhaustively; in a larger one a pivot is compared with all others and leaves, which joins most of a
-group of copies.  Large nodes are then looked at again: the few members outside a node's largest component are
-compared with all its members, in blocks to which each set is shipped once.  Where those are not few, a pivot is
-compared again and the node branches, STEP levels at a time along two paths.  Below LEVELS steps nodes no longer
-branch but go on losing pivots, so large nodes are never cut.  Members of one component are not compared, so a
-group of n near copies costs about n comparisons.
-
-A pair at the threshold meets in one tree's first two levels with probability 0.64, in any of 16 trees with
-1 - 1e-7.  Pairs whose sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the
+Each of TREES independent trees sends a set to the child of its minwise token, two levels deep; all trees are
+made at once.  There a node of at most LEAF members is compared exhaustively; in a larger one a pivot is compared
+with all others and leaves, which joins most of a group of copies.  Large nodes are then looked at again: where the
+members outside a node's largest component are few, they are compared with all its members, in blocks to which
+each set is shipped once.  Where they are not few, further pivots are compared, up to round PIVOTS; what is then
+still outside is dealt into parts, and each part is compared with each block.  Nodes never branch further, as a
+pair that shares no child would be lost: whatever meets in a node is compared, however large the node.  Members of
+one component are not compared, so a group of n near copies costs about n comparisons; n sets that meet in a node
+without being copies cost the square of n comparisons of sketches.
+
+A pair at the threshold meets in one tree with probability 0.64, in any of 16 trees with 1 - 1e-7.  Pairs whose sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the
 threshold are skipped; all others are confirmed on the full sets, which are built for what such pairs hold only.
 Components come from label propagation with pointer jumping over the confirmed links.
 
@@ -35,12 +34,15 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import release, shuffle_partitions, store
 
-TREES, COORDINATES, LEAF, STEP, LEVELS = 16, 64, 24, 3, 6
+TREES, COORDINATES, LEAF = 16, 64, 24
+#: The last round in which a large node's pivot is compared, before all that is left in the node is.  On check_h
+#: pivots of rounds 2 and 3 left 3686 of 3688 members outside.
+PIVOTS = 1
 #: Coordinates of 64 that may differ: at a similarity of 0.8 the mean is 12 and the deviation 3.1.
 MOST_DIFFERENT = 28
 #: Members of a node that one copy of its pivot's set serves.
 SERVED = 256
-#: Members outside a node's largest component, and shingles in their sets, that are compared with all of the node.
+#: Members outside a node's largest component, and shingles in their sets, that are compared with a block at once.
 FEW, FEW_SHINGLES = 512, 1 << 22
 #: Shingles in the sets of a block of a node's members.
 BLOCK_SHINGLES = 1 << 20
@@ -127,17 +129,6 @@ def _first_nodes(reps: DataFrame) -> DataFrame:
     return reps.select(F.explode(keys).alias("key"), "rep", "n")
 
 
-def _children(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the nodes STEP levels below: two paths, each of STEP coordinates that a hash of the node chooses."""
-
-    def key(path: int) -> Column:
-        places = [F.pmod(F.xxhash64("key", F.lit(path), F.lit(j)), F.lit(COORDINATES)).cast("int") for j in range(STEP)]
-        return F.xxhash64("key", F.lit(path), *[F.substr("mins", p * 4 + 1, F.lit(4)) for p in places])
-
-    wide = members.join(reps.select("rep", "mins"), "rep")
-    return wide.select(F.explode(F.array(key(0), key(1))).alias("key"), "rep", "n")
-
-
 def _alike(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches leave the threshold possible."""
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
@@ -250,26 +241,28 @@ def _stars(large: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of nodes dealt into blocks, and to each block all those outside the node's largest component."""
+    """The members of nodes dealt into blocks, and those outside the node's largest component into parts: each block meets each part."""
     copies = F.ceil(F.greatest(F.col("size") / SERVED, F.col("volume") / BLOCK_SHINGLES)).cast("long")
-    every = held.withColumn("block", F.pmod(F.xxhash64("rep"), copies))
-    few = held.where("c <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    parts = F.ceil(F.greatest(F.col("few") / FEW, F.col("few_volume") / FEW_SHINGLES)).cast("long")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    every = held.withColumn("block", F.pmod(F.xxhash64("rep"), copies)).withColumn("part", all_of(parts))
+    few = held.where("c <> main").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), parts)).withColumn("block", all_of(copies))
     return every, few
 
 
 def _comparable(every: DataFrame, few: DataFrame, percent: int) -> DataFrame:
-    """Of each block the members, and those outside, that sizes and sketches leave something to compare with."""
+    """Of each block and part the members, and those outside, that sizes and sketches leave something to compare with."""
 
     def alone(left: DataFrame, right: DataFrame, outside: bool) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
-        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y", percent)
-        return x.join(y, met, "left_semi").select("key", "block", F.lit(outside).alias("outside"), "rep", "c", "n", "s0", "s1", "s2", "s3")
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & _alike("x", "y", percent)
+        return x.join(y, met, "left_semi").select("key", "block", "part", F.lit(outside).alias("outside"), "rep", "c", "n", "s0", "s1", "s2", "s3")
 
     return alone(every, few, False).union(alone(few, every, True))
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: of each block links that join its components wherever a pair of sets reaches the threshold."""
+    """a, b: of each block and part links that join its components wherever a pair of sets reaches the threshold."""
     ones = _U(0x1111111111111111)
 
     def run(block: pa.Table) -> pa.Table:
@@ -303,7 +296,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((int(rep[i]), int(rep[j])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.join(sets, "rep").groupBy("key", "block").applyInArrow(run, "a long, b long")
+    return rows.join(sets, "rep").groupBy("key", "block", "part").applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, ends: DataFrame, size: int) -> DataFrame:
@@ -324,7 +317,7 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
         held = _open(members, reps, comp, level)
         if before is not None:
             release(before)
-        done = (F.col("size") <= LEAF) if level == 0 else (F.col("few") <= FEW) & (F.col("few_volume") <= FEW_SHINGLES)
+        done = (F.col("size") <= LEAF) if level == 0 else (F.col("few") <= FEW) & (F.col("few_volume") <= FEW_SHINGLES) | F.lit(level > PIVOTS)
         ready, large = held.where(done), held.where(~done)
         rows, more = held.agg(F.count("*"), F.max(~done)).first()
         if not rows:
@@ -352,8 +345,6 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
             release(held)
             return comp
         members = large.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n")
-        if 0 < level <= LEVELS:
-            members = _children(members, reps)
         before, level = held, level + 1
 
 

@@ -129,6 +129,29 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch, few):
     assert {x.doc_id: x.component_id for x in found} == dict(enumerate(comp))
 
 
+def test_near_duplicates_that_meet_in_a_large_node(spark, monkeypatch):
+    """With one tree: whatever meets in a node is compared, though the node is large and few of its members are linked."""
+    for name, value in (("TREES", 1), ("LEAF", 4), ("FEW", 2), ("SERVED", 16)):
+        monkeypatch.setattr(near_dup, name, value)
+    r = random.Random(11)
+    base, texts = [f"w{k}" for k in range(60)], []
+    for k in range(80):
+        w = list(base)
+        for j in r.sample(range(60), 8):
+            w[j] = f"x{k}"
+        texts.append(" ".join(w))
+        w[r.randrange(60)] = f"y{k}"
+        texts.append(" ".join(w))
+    small = docs_of(spark, texts)
+    sets = [set(zip(w, w[1:])) for w in map(split, texts)]
+    node = {x.doc_id: bytes(x.mins[:8]) for x in near_dup.signatures(small, 2).collect()}
+    met = [(a, b) for b in range(len(texts)) for a in range(b) if node[a] == node[b]]
+    pairs = [(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(pairs) > 40 and len(met) > 20 * len(pairs)
+    comp = {x.doc_id: x.component_id for x in near_dup.link(small, 2, 80).collect()}
+    assert [(a, b) for a, b in pairs if comp[a] != comp[b]] == []
+
+
 def test_secrets(spark, docs, empty):
     plain = "api_key = abcdefghijklmnop"
     assert secrets.base_spans("PASSWORD: 'hunter2hunter2'") == [(0, 0, 25)]
