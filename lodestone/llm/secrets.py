@@ -7,7 +7,8 @@ for the same part of the text is not entered again, so decoders that reproduce t
 layer holds is reported at the part of the original text that was unwrapped.
 
 Defined results: a null text is an empty one and has no spans; equal spans are reported once; repeated rows
-each get a result.  Bytes that are not UTF-8 text after decoding make no layer.  A compressed layer is read
+each get a result.  Percent escapes of bytes that are not UTF-8 stay as they are, and the rest is unwrapped; other
+bytes that are not UTF-8 text after decoding make no layer.  A compressed layer is read
 up to MAX_LAYER bytes, the only bound, against decompression bombs.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -42,6 +44,9 @@ _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _SURROGATES = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
 
+#: Bytes that are not UTF-8 stay percent escapes.
+codecs.register_error("lodestone.percent", lambda e: ("".join(f"%{x:02X}" for x in e.object[e.start : e.end]), e.end))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the base patterns' matches, ascending, ends excluded, in code points."""
@@ -55,11 +60,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _percent(part: str) -> str | None:
-    try:
-        return _PERCENT_RUN.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), part)
-    except UnicodeDecodeError:
-        return None
+def _percent(part: str) -> str:
+    return _PERCENT_RUN.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode(errors="lodestone.percent"), part)
 
 
 def _unescape(part: str) -> str | None:

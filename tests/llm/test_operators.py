@@ -166,6 +166,12 @@ def test_secrets(spark, docs, empty):
     assert secrets.redact(docs).schema == docs.schema and secrets.redact(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("layer", ["https://x/?n=Jos%E9&next=password%3Dhunter2hunter2", "%E9%20password%3Dhunter2hunter2%FF%", "a%C3%A9%C3,%70assword%3dhunter2hunter2", quote("n=%E9&password%3Dhunter2hunter2")])
+def test_secrets_beside_escapes_that_are_not_utf8(layer):
+    assert (4, 0, 4 + len(layer)) in secrets.all_spans(f"see {layer} there")
+    assert secrets.redacted(f"see {layer} there") == "see [REDACTED] there"
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(WORDS)), (2, "Two; THREE"), (3, None), (4, ""), (None, "unheard"), (5, "two three")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
