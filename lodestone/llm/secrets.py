@@ -8,8 +8,9 @@ layer holds is reported at the part of the original text that was unwrapped.
 
 Defined results: a null text is an empty one and has no spans; equal spans are reported once; repeated rows
 each get a result.  Percent escapes of bytes that are not UTF-8 stay as they are, and the rest is unwrapped; other
-bytes that are not UTF-8 text after decoding make no layer.  A compressed layer is read
-up to MAX_LAYER bytes, the only bound, against decompression bombs.
+bytes that are not UTF-8 text after decoding make no layer.  Base64 in lines of equal width is also
+unwrapped as a whole.  All members of a compressed layer are read, up to MAX_LAYER bytes together, the only
+bound, against decompression bombs.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ _NAMES = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
 _ESCAPED = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\S*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _SURROGATES = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
@@ -75,26 +77,33 @@ def _unescape(part: str) -> str | None:
 
 def _readable(data: bytes) -> str | None:
     try:
-        text = data.decode()
+        text = codecs.getincrementaldecoder("utf-8")().decode(data, final=len(data) < MAX_LAYER)  # the bound may cut a character
     except UnicodeDecodeError:
         return None
     return text if text and not any(c < " " and c not in "\t\n\r\f\v" for c in text) else None
 
 
 def _inflate(data: bytes) -> bytes | None:
-    """data unpacked once, if it begins as gzip, zlib, bzip2 or xz data does."""
+    """data unpacked once, all members of it, if it begins as gzip, zlib, bzip2 or xz data does."""
+    out, room = [], MAX_LAYER
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
+        while data and room:
+            if data[:2] == b"\x1f\x8b":
+                unpacker = zlib.decompressobj(31)
+            elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+                unpacker = zlib.decompressobj()
+            elif data[:3] == b"BZh":
+                unpacker = bz2.BZ2Decompressor()
+            elif data[:6] == b"\xfd7zXZ\x00":
+                unpacker = lzma.LZMADecompressor()
+            else:
+                break
+            out.append(unpacker.decompress(data, room))
+            room -= len(out[-1])
+            data = unpacker.unused_data.lstrip(b"\0")  # xz streams may be padded
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         pass
-    return None
+    return b"".join(out) if out else None
 
 
 def _base64(part: str) -> str | None:
@@ -112,6 +121,26 @@ def _base64(part: str) -> str | None:
     return _readable(data)
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 broken into lines of equal width, as (start, end, joined); a shorter last line may belong to it or not."""
+    for m in _LINES.finditer(text):
+        first = at = m.start()
+        width, run = 0, []
+        for line in [*m[0].split(), ""]:
+            if run and len(line) != width:
+                if line and len(line) < width:
+                    yield first, text.index(line, at) + len(line), "".join([*run, line])
+                if len(run) > 1:
+                    yield first, at, "".join(run)
+                run = []
+            if line:
+                begin = text.index(line, at)
+                if not run:
+                    first, width = begin, len(line)
+                run.append(line)
+                at = begin + len(line)
+
+
 def _layers(text: str) -> Iterator[tuple[int, int, str]]:
     """Each encoded part of a text, as (start, end, what it holds)."""
     ways = []
@@ -125,6 +154,10 @@ def _layers(text: str) -> Iterator[tuple[int, int, str]]:
             inner = decode(m[0])
             if inner is not None and inner != m[0]:
                 yield m.start(), m.end(), inner
+    if "\n" in text:
+        for start, end, part in _wrapped(text):
+            if (inner := _base64(part)) is not None:
+                yield start, end, inner
 
 
 def all_spans(text: str) -> list[tuple[int, int, str]]:

@@ -1,10 +1,13 @@
 """Each operator on awkward rows, and against plain versions on small ones."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import zlib
 from collections import defaultdict
 from urllib.parse import quote
 
@@ -172,6 +175,21 @@ def test_secrets_beside_escapes_that_are_not_utf8(layer):
     assert secrets.redacted(f"see {layer} there") == "see [REDACTED] there"
 
 
+def test_secrets_in_later_members_and_lines(monkeypatch):
+    plain = b"password=hunter2hunter2 "
+    noise = " ".join(random.Random(3).choices(WORDS, k=300)).encode()
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        layer = base64.b64encode(pack(b"hello ") + pack(plain)).decode()
+        assert (4, 0, 4 + len(layer)) in secrets.all_spans(f"see {layer} there")
+        for data in (pack(noise + plain), noise + plain, plain[:40]):
+            layer = base64.encodebytes(data).decode().strip()
+            for wrapped in (layer, layer.replace("\n", "\r\n    ")):
+                assert (4, 0, 4 + len(wrapped)) in secrets.all_spans(f"see {wrapped}\nthere it is"), wrapped
+    monkeypatch.setattr(secrets, "MAX_LAYER", len(plain) + 1)
+    layer = base64.b64encode(gzip.compress(plain + "é".encode())).decode()
+    assert secrets.redacted(f"see {layer} there") == "see [REDACTED] there"
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(WORDS)), (2, "Two; THREE"), (3, None), (4, ""), (None, "unheard"), (5, "two three")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
