@@ -4,18 +4,20 @@ A document's set is its distinct shingles of `size` words (64-bit hashes).  Docu
 class, found by grouping, and only a class's smallest doc_id, its representative, goes on.
 
 Each of TREES independent trees sends a set to the child of its minwise token, two levels deep; all trees are
-made at once.  There a node of at most LEAF members is compared exhaustively; in a larger one a pivot is compared
-with all others and leaves, which joins most of a group of copies.  Large nodes are then looked at again: where the
-members outside a node's largest component are few, they are compared with all its members, in blocks to which
-each set is shipped once.  Where they are not few, further pivots are compared, up to round PIVOTS; what is then
-still outside is dealt into parts, and each part is compared with each block.  Nodes never branch further, as a
-pair that shares no child would be lost: whatever meets in a node is compared, however large the node.  Members of
-one component are not compared, so a group of n near copies costs about n comparisons; n sets that meet in a node
-without being copies cost the square of n comparisons of sketches.
-
-A pair at the threshold meets in one tree with probability 0.64, in any of 16 trees with 1 - 1e-7.  Pairs whose sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the
-threshold are skipped; all others are confirmed on the full sets, which are built for what such pairs hold only.
-Components come from label propagation with pointer jumping over the confirmed links.
+made at once.  There each node's pivot, its smallest member, is first compared with all others and leaves, which
+joins most of a group of copies; only then, and only between members that are not yet in one component, a node of
+at most LEAF members is compared exhaustively.  In a larger one, where the members outside of its largest component
+are few, they are compared with all its members, in blocks to which each set is shipped once.  Where they are not
+few, further pivots are compared, up to round PIVOTS; what is then still outside is dealt into parts, and each part
+is compared with each block.  Nodes never branch further, as a pair that shares no child would be lost: whatever
+meets in a node is compared, however large the node.  Members of one component are not compared, so a group of n
+near copies costs about n comparisons; n sets that meet in a node without being copies cost the square of n
+comparisons of sketches.
+
+A pair at the threshold meets in one tree with probability 0.64, in any of 16 trees with 1 - 1e-7.  Pairs whose
+sizes, or whose sketches of 64 coordinates (five standard deviations), exclude the threshold are skipped; all others
+are confirmed on the full sets.  What is shipped for that is the text, a third of its set's bytes, and only for what
+such pairs hold.  Components come from label propagation with pointer jumping over the confirmed links.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and are their own
 component; a text of fewer than `size` words has one shingle, all its words; rows with a null doc_id get a
@@ -32,12 +34,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import release, shuffle_partitions, store
+from .common import release, store
 
 TREES, COORDINATES, LEAF = 16, 64, 24
 #: The last round in which a large node's pivot is compared, before all that is left in the node is.  On check_h
 #: pivots of rounds 2 and 3 left 3686 of 3688 members outside.
 PIVOTS = 1
+#: Bytes of the minwise values that the trees read: two of 4 bytes a tree.
+MINS = 8
 #: Coordinates of 64 that may differ: at a similarity of 0.8 the mean is 12 and the deviation 3.1.
 MOST_DIFFERENT = 28
 #: Members of a node that one copy of its pivot's set serves.
@@ -85,7 +89,7 @@ def _sums(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), lo and hi (of the set), mins (minwise values, 4 bytes each), s0 to s3 (4 bits of each)."""
+    """doc_id, n (set size), lo and hi (of the set), mins (the trees' minwise values, 4 bytes each), s0 to s3 (4 bits of all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,31 +105,28 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 bits = (W.mix(mins.astype(np.uint64)) & _U(15)).reshape(len(n), 4, 16) << (_U(4) * np.arange(16, dtype=np.uint64))
                 packed = np.bitwise_or.reduce(bits, 2).view(np.int64)
                 ids = batch.column("doc_id").slice(block.rows.start, len(n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(lo), pa.array(hi), pa.array([m.tobytes() for m in mins], pa.binary()), *(pa.array(packed[:, j]) for j in range(4))], ["doc_id", "n", "lo", "hi", "mins", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(lo), pa.array(hi), pa.array([m.tobytes() for m in mins[:, : MINS * TREES // 4]], pa.binary()), *(pa.array(packed[:, j]) for j in range(4))], ["doc_id", "n", "lo", "hi", "mins", "s0", "s1", "s2", "s3"])
 
     return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, mins binary, s0 long, s1 long, s2 long, s3 long")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs: doc_id, text, lo, hi.  rep and shingles (ascending 8-byte hashes) of the rows whose set lo and hi are of."""
+def texts_of(docs: DataFrame, size: int) -> DataFrame:
+    """docs: doc_id, text, lo, hi.  rep and text of the rows whose set lo and hi are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = [batch.column(c).to_numpy() for c in ("lo", "hi")]
             for block in W.blocks(batch.column("text"), W.SPACED, lower=True, limit=TEXT_BYTES):
-                h, first = _shingles(block, size)
-                lo, hi = _sums(h, first)
-                same = np.flatnonzero((lo == wanted[0][block.rows]) & (hi == wanted[1][block.rows]))
-                ids = batch.column("doc_id").slice(block.rows.start, len(lo)).take(pa.array(same))
-                blobs = pa.array([h[first[i] : first[i + 1]].tobytes() for i in same], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, blobs], ["rep", "shingles"])
+                lo, hi = _sums(*_shingles(block, size))
+                same = pa.array(np.flatnonzero((lo == wanted[0][block.rows]) & (hi == wanted[1][block.rows])) + block.rows.start)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(same), batch.column("text").take(same)], ["rep", "text"])
 
-    return docs.select("doc_id", "text", "lo", "hi").mapInArrow(run, "rep long, shingles binary")
+    return docs.select("doc_id", "text", "lo", "hi").mapInArrow(run, "rep long, text string")
 
 
 def _first_nodes(reps: DataFrame) -> DataFrame:
     """Members of the nodes two levels down every tree."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substr("mins", F.lit(8 * t + 1), F.lit(8))) for t in range(TREES)])
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substr("mins", F.lit(MINS * t + 1), F.lit(MINS))) for t in range(TREES)])
     return reps.select(F.explode(keys).alias("key"), "rep", "n")
 
 
@@ -142,22 +143,27 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return sizes & (differ(0) + differ(1) + differ(2) + differ(3) <= MOST_DIFFERENT)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs: a, b, salt.  Those whose full sets reach the threshold.  A hot a is spread by salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+            a = batch.column("a").to_pylist()
+            keep = np.zeros(len(a), bool)
+            for block in W.blocks(batch.column("y"), W.SPACED, lower=True, limit=TEXT_BYTES):
+                h, first = _shingles(block, size)
+                for k, i in enumerate(range(block.rows.start, block.rows.stop)):
+                    if a[i] != last:
+                        last, x = a[i], _shingles(next(W.blocks(batch.column("x").slice(i, 1), W.SPACED, lower=True)), size)[0]
+                    both = np.concatenate([x, h[first[k] : first[k + 1]]])
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep[i] = 100 * common >= percent * (len(both) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    left = pairs.select("a", "salt").distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     return right.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -178,39 +184,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text.  One row for each: doc_id, n_shingles, component_id, kept."""
+    return _link(docs, size, percent)[0]
+
+
+def _link(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """link() and the stored frames that its result reads."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = store(signatures(docs, size))
-    sets = rows.where("n > 0 and doc_id is not null")
-    reps = sets.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "n", "s0", "s1", "s2", "s3", "mins")).alias("r"))
+    member = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    reps = rows.where(member).groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "n", "s0", "s1", "s2", "s3", "mins")).alias("r"))
     reps = store(reps.select("lo", "hi", F.col("r.doc_id").alias("rep"), *[F.col(f"r.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "mins")]))
     comp = _linked(docs, reps, size, percent)
     classes = reps.select("lo", "hi", "rep")
     if comp is not None:
         classes = classes.join(comp.select("rep", "comp"), "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("rep"))
-    found = rows.select("doc_id", "n", "lo", "hi").join(classes, ["lo", "hi"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Rows without a set, which are as one key, stay out of the join.
+    found = rows.where(member).select("doc_id", "n", "lo", "hi").join(classes, ["lo", "hi"]).select("doc_id", "n", "rep")
+    found = found.union(rows.where(~member).select("doc_id", "n", F.col("doc_id").alias("rep")))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), [rows, reps, *([] if comp is None else [comp])]
 
 
-def _open(members: DataFrame, reps: DataFrame, comp: DataFrame | None, level: int) -> DataFrame:
+def _open(members: DataFrame, reps: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Members (key, rep, n) of the nodes that still have something to compare, with their sketch and component c.
 
     Of the node: size and volume (shingles), main (its largest component), few and few_volume (what lies outside
-    of main) and pivot."""
-    pivot = F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), F.col("rep").alias("rep"))).alias("pivot")
+    of main) and pivot.  Nodes are stored before members are joined with them, so that a large node's members can be
+    split over tasks."""
+    sizes = [F.count("*").alias("size"), F.sum("n").alias("volume"), F.min("rep").alias("pivot")]
     if comp is None:
         members = members.withColumn("c", F.col("rep"))
-        nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), pivot)
-        nodes = nodes.where("size > 1").select("*", F.col("pivot.rep").alias("main"), (F.col("size") - 1).alias("few"), F.col("volume").alias("few_volume"))
+        nodes = members.groupBy("key").agg(*sizes).where("size > 1")
+        nodes = nodes.select("*", F.col("pivot").alias("main"), (F.col("size") - 1).alias("few"), F.col("volume").alias("few_volume"))
     else:
         members = members.join(comp.select("rep", "comp"), "rep", "left").withColumn("c", F.coalesce("comp", "rep")).drop("comp")
-        parts = members.groupBy("key", "c").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), pivot)
+        parts = members.groupBy("key", "c").agg(*sizes)
         most = F.max(F.struct("size", "volume", "c")).alias("most")
         nodes = parts.groupBy("key").agg(F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.min("pivot").alias("pivot"), most)
         nodes = nodes.where("size > most.size").select("key", "size", "volume", "pivot", F.col("most.c").alias("main"), (F.col("size") - F.col("most.size")).alias("few"), (F.col("volume") - F.col("most.volume")).alias("few_volume"))
-    nodes = nodes.withColumn("pivot", F.col("pivot.rep"))
-    return store(members.join(nodes, "key").join(reps.select("rep", "s0", "s1", "s2", "s3"), "rep"))
+    nodes = store(nodes)
+    held = store(members.join(nodes, "key").join(reps.select("rep", "s0", "s1", "s2", "s3"), "rep"))
+    release(nodes)
+    return held
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -261,7 +276,7 @@ def _comparable(every: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     return alone(every, few, False).union(alone(few, every, True))
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: of each block and part links that join its components wherever a pair of sets reaches the threshold."""
     ones = _U(0x1111111111111111)
 
@@ -269,7 +284,10 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         outside = block.column("outside").to_numpy()
         rep, c, n = (block.column(k).to_numpy() for k in ("rep", "c", "n"))
         sketch = np.stack([block.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
-        held = [np.frombuffer(v.as_py(), np.uint64) for v in block.column("shingles")]
+        held = []
+        for words in W.blocks(block.column("text"), W.SPACED, lower=True, limit=TEXT_BYTES):
+            h, first = _shingles(words, size)
+            held += [h[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
         inner = np.flatnonzero(~outside)
         group = c.copy()
         found: list[tuple[int, int]] = []
@@ -296,17 +314,17 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((int(rep[i]), int(rep[j])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.join(sets, "rep").groupBy("key", "block", "part").applyInArrow(run, "a long, b long")
+    return rows.join(texts, "rep").groupBy("key", "block", "part").applyInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """rep, shingles of the representatives in ends, dealt by rep once for all joins of a round."""
+def _texts(docs: DataFrame, reps: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """rep, text of the representatives in ends, once each."""
     wanted = store(ends.distinct().join(reps.select("rep", "lo", "hi"), "rep").withColumnRenamed("rep", "doc_id"))
     few = wanted.count() <= BROADCAST
-    found = full_sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id"), size).repartition(shuffle_partitions(docs), "rep")
-    sets = store(found.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    found = texts_of(docs.join(F.broadcast(wanted) if few else wanted, "doc_id"), size)
+    texts = store(found.groupBy("rep").agg(F.first("text").alias("text")))
     release(wanted)
-    return sets
+    return texts
 
 
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -314,51 +332,55 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
     comp, level, before = None, 0, None
     members = _first_nodes(reps)
     while True:
-        held = _open(members, reps, comp, level)
+        held = _open(members, reps, comp)
         if before is not None:
             release(before)
-        done = (F.col("size") <= LEAF) if level == 0 else (F.col("few") <= FEW) & (F.col("few_volume") <= FEW_SHINGLES) | F.lit(level > PIVOTS)
-        ready, large = held.where(done), held.where(~done)
-        rows, more = held.agg(F.count("*"), F.max(~done)).first()
+        if level == 0:
+            stars, rest, ready = held, held.where("size > 2"), None
+        else:
+            small = F.col("size") <= LEAF
+            done = (F.col("few") <= FEW) & (F.col("few_volume") <= FEW_SHINGLES) | F.lit(level > PIVOTS)
+            stars = rest = held.where(~small & ~done)
+            ready = held.where(~small & done)
+        rows, more = held.agg(F.count("*"), F.max(F.col("size") > 2) if level == 0 else F.max(~small & ~done)).first()
         if not rows:
+            release(held)
             return comp
-        pairs = _exhaustive(ready, percent) if level == 0 else None
-        if more:
-            stars = _stars(large, percent)
-            pairs = stars if pairs is None else pairs.union(stars)
+        pairs = _stars(stars, percent)
+        if level:
+            pairs = pairs.union(_exhaustive(held.where(small), percent))
+        pairs = store(pairs.groupBy("a", "b").agg(F.min("salt").alias("salt")))
         blocks = store(_comparable(*_blocks(ready), percent)) if level else None
-        ends = None if blocks is None else blocks.select("rep")
-        if pairs is not None:
-            pairs = store(pairs.groupBy("a", "b").agg(F.min("salt").alias("salt")))
-            both = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-            ends = both if ends is None else ends.union(both)
-        sets = _sets(docs, reps, ends, size)
-        links = None if pairs is None else _confirmed(pairs, sets, percent)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+        texts = _texts(docs, reps, ends if blocks is None else ends.union(blocks.select("rep")), size)
+        links = _confirmed(pairs, texts, size, percent)
         if blocks is not None:
-            inner = _block_links(blocks, sets, percent)
-            links = inner if links is None else links.union(inner)
+            links = links.union(_block_links(blocks, texts, size, percent))
         links = store(links)
         if links.head(1):
             comp = _merged(comp, links)
-        release(*[x for x in (pairs, blocks, sets, links) if x is not None])
+        release(*[x for x in (pairs, blocks, texts, links) if x is not None])
         if not more:
             release(held)
             return comp
-        members = large.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n")
+        members = rest.where(F.col("rep") != F.col("pivot")).select("key", "rep", "n")
         before, level = held, level + 1
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns unchanged, without those whose component has a smaller doc_id.
 
-    Of rows that share a doc_id one stays, that of the smallest text; rows with a null doc_id stay."""
-    found = store(link(docs, size, percent).where("doc_id is not null"))
+    Of rows that share a doc_id one stays, that of the smallest text, source and lang, and among equal ones any one;
+    rows with a null doc_id stay."""
+    found, read = _link(docs, size, percent)
+    found = store(found.where("doc_id is not null").select("doc_id", "kept"))
+    release(*read)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     again = found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
     if not again.head(1):
         return left
     repeated = F.col("doc_id").cast("long") == F.col("_again")
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in ("source", "lang") if c in docs.columns])
     one = left.join(again, repeated, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
     return left.join(again, repeated, "left_anti").unionByName(one)
