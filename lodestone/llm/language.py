@@ -2,10 +2,11 @@
 
 A text's vector is the mean of the embeddings of its hashed subwords (whole words and runs of two, three
 and four bytes inside lower-cased words); a linear softmax gives language probabilities.  Embeddings and
-softmax are trained together by stochastic gradient descent in numpy on a bounded sample of documents
-(`bound`, the smallest by a hash of doc_id), each as its whole text and as a few of its words, so that short
-texts are learned too.  Part of the sample is held back to calibrate: a temperature that makes the scores
-honest probabilities, and the score below which a prediction is marked as rejected.
+softmax are trained together by stochastic gradient descent in numpy on a bounded sample of documents, the same
+number of each language (the smallest by a hash of doc_id), each as its whole text and as a few of its words, so
+that short texts are learned too.  A tenth of the sample's documents is held back, with their pieces, to calibrate:
+a temperature that makes the scores honest probabilities, and the score below which a prediction is marked as
+rejected.  One executor task trains, so that the driver holds no text.
 
 As averaging and the softmax's matrix are linear, the executors get their product, one row of logits a
 bucket: its size does not depend on the input.
@@ -22,14 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .common import fold
 
-#: Documents that training reads at most.
-SAMPLE = 3000
+#: Documents that training reads at most, in equal parts of the languages; languages that are learned at most, the
+#: most frequent ones; subwords of all these documents together (one that does not fit in what is left is left out).
+SAMPLE, LANGUAGES, SUBWORDS = 3000, 200, 16_000_000
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 1.0
 #: Words of the short pieces that are learned beside whole texts.
@@ -87,27 +89,48 @@ def _pieces(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _sample(docs: DataFrame, bound: int) -> DataFrame:
+    """lang, h, doc_id, text: of each language as many documents, `bound` together."""
+    known = docs.select("doc_id", "text", "lang").where(fold(parts=4) != 2).where("lang is not null and text is not null")
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).persist()
+    each = max(1, bound // max(1, counts.count()))
+    # Thinned by a hash to little more than is needed, before anything is put in order.
+    share = F.lit(float(1 << 24)) * (1.5 * each + 20) / F.col("count")
+    known = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 24)) < share)
+    known = known.groupBy("lang", F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return known.withColumn("place", place).where(F.col("place") <= each).drop("place")
+
+
 def fit(docs: DataFrame, bound: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang."""
-    known = docs.select("doc_id", "text", "lang").where(fold(parts=4) != 2).where("lang is not null and text is not null")
-    known = known.withColumn("h", F.xxhash64("doc_id"))
-    n = known.count()
-    if n > 1.2 * bound:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * 1.2 * bound / n))
-    known = known.groupBy("h", "doc_id", "lang").agg(F.min("text").alias("text")).orderBy("h", "doc_id", "lang").limit(bound)
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, ids, times, of, room, n = [], [], [], [], SUBWORDS, 0
         for batch in batches:
+            langs = batch.column("lang").to_pylist()
             for column in (batch.column("text"), _pieces(batch.column("text"))):
-                for i, ids, times in _bags(column):
-                    yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, 1), batch.column("doc_id").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([ids.tobytes()], pa.binary()), pa.array([times.astype(np.float32).tobytes()], pa.binary())], ["h", "doc_id", "lang", "ids", "times"])
-
-    rows = known.select("h", "doc_id", "lang", "text").mapInArrow(bags, "h long, doc_id long, lang string, ids binary, times binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["lang"], r["ids"]))
-    return train([r["lang"] for r in rows], [np.frombuffer(r["ids"], np.int32) for r in rows], [np.frombuffer(r["times"], np.float32) for r in rows])
-
-
-def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray]) -> Model:
+                for i, x, t in _bags(column):
+                    if len(x) <= room:
+                        room -= len(x)
+                        labels.append(langs[i])
+                        ids.append(x)
+                        times.append(t.astype(np.float32))
+                        of.append(n + i)
+            n += len(langs)
+        model = train(labels, ids, times, np.array(of, int))
+        kind = pa.schema([("languages", pa.list_(pa.string())), ("table", pa.binary()), ("bias", pa.binary()), ("temperature", pa.float64()), ("least", pa.float64())])
+        yield pa.RecordBatch.from_pylist([{"languages": model.languages, "table": model.table.tobytes(), "bias": model.bias.tobytes(), "temperature": model.temperature, "least": model.least}], kind)
+
+    rows = _sample(docs, bound).repartition(1).sortWithinPartitions("h", "doc_id", "lang").select("lang", "text")
+    got = rows.mapInArrow(learn, "languages array<string>, table binary, bias binary, temperature double, least double").first()
+    if got is None:
+        return train([], [], [], np.zeros(0, int))
+    return Model(got.languages, np.frombuffer(got.table, np.float32).reshape(1 << BITS, -1) if got.languages else np.zeros((1 << BITS, 0), np.float32), np.frombuffer(got.bias, np.float32), got.temperature, got.least)
+
+
+def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray], of: np.ndarray) -> Model:
+    """of: the document of each bag; those of every tenth document are not learned but calibrate."""
     languages = sorted(set(labels))
     random = np.random.default_rng(11)
     k = len(languages)
@@ -115,7 +138,7 @@ def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray]) ->
     w, b = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     y = np.array([languages.index(x) for x in labels], int)
     shares = [t / t.sum() for t in times]
-    held = np.arange(len(y)) % 10 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    held = of % 10 == 0 if len(set(of)) >= 50 else np.zeros(len(y), bool)
     learn = np.flatnonzero(~held)
     for epoch in range(EPOCHS if k else 0):
         random.shuffle(learn)
