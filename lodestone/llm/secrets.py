@@ -1,36 +1,41 @@
 """Secret scans by a recursive decoding worklist.
 
-Three base patterns are searched in a text.  Then every encoded part (percent escapes, Unicode and
-character escapes, base64, and compressed bytes inside base64) is unwrapped into a layer of its own; each
-layer is scanned and unwrapped in the same way, until no new layer appears.  A layer that was already seen
-for the same part of the text is not entered again, so decoders that reproduce their input end.  What a
-layer holds is reported at the part of the original text that was unwrapped.
-
-Defined results: a null text is an empty one and has no spans; equal spans are reported once; repeated rows
-each get a result.  Percent escapes of bytes that are not UTF-8 stay as they are, and the rest is unwrapped; other
-bytes that are not UTF-8 text after decoding make no layer.  Base64 in lines of equal width is also
-unwrapped as a whole.  All members of a compressed layer are read, up to MAX_LAYER bytes together, the only
-bound, against decompression bombs.
+Three base patterns are searched in a text.  Then every encoded part is unwrapped into a layer: percent, Unicode and
+character escapes, of which those that others make are unwrapped too, into a copy of the whole text; base64, in all
+four alignments of a run, and in lines of equal width also as a whole; and compressed streams among decoded bytes.
+Each layer is scanned and unwrapped in the same way, until no new layer appears.  A layer that was already seen for
+the same part of the text is not entered again, so decoders that reproduce their input end.
+
+A layer knows of each of its characters which part of the original text it stands for, and a span is reported as
+the parts of its characters, from the first to the last: escapes and base64 are mapped to the character, what is in
+a compressed stream to the whole stream.  Bytes are read as Latin-1, as all patterns are ASCII; so bytes that are not
+UTF-8 hide nothing beside them.
+
+Defined results: a null text is an empty one and has no spans; equal spans are reported once; repeated rows each
+get a result.  Escapes that name no character stand for one unknown one.  All members of compressed streams are read
+to their end, WINDOW bytes at a time; windows overlap by OVERLAP bytes, so a key with its spaces, or an encoded part
+inside of a stream, that is longer than that may be missed where a window ends.  Work is in proportion to the text
+and what is unwrapped from it, also without spaces.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of one decompressed layer that are read at most.
-MAX_LAYER = 64 << 20
+#: Bytes of a decompressed stream that are scanned at once, and that two neighbouring windows share.
+WINDOW, OVERLAP = 4 << 20, 256 << 10
 #: The base kinds, in the order in which equal starts are listed, and their patterns.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,16 +43,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, those of 16 and more
 _NAMES = ("passw", "secret", "token", "api")
 
-_PERCENT = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
-_ESCAPED = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\S*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
-_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_SURROGATES = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|(?:%u|\\u)[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_LONGEST = 10
+#: Characters that can be part of an escape.
+_ACTIVE = frozenset("%\\&#;{}uxX0123456789abcdefABCDEF")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: How gzip, zlib, bzip2 and xz streams begin.
+_MAGIC = re.compile(rb"(\x1f\x8b\x08)|(x[\x01\x5e\x9c\xda])|(BZh[1-9])|(\xfd7zXZ\x00)")
+#: Without any of these decoded bytes hold neither a base pattern nor an encoded part.
+_WORTH = re.compile(r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|[A-Za-z0-9+/_-]{16}|" + _ESCAPE.pattern)
 
-#: Bytes that are not UTF-8 stay percent escapes.
-codecs.register_error("lodestone.percent", lambda e: ("".join(f"%{x:02X}" for x in e.object[e.start : e.end]), e.end))
+
+@dataclass
+class Layer:
+    """A text and where the part of the original text begins and ends that each of its characters stands for."""
+
+    text: str
+    start: np.ndarray
+    end: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Layer:
+        places = np.arange(len(text) + 1)
+        return cls(text, places[:-1], places[1:])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -62,116 +81,169 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _percent(part: str) -> str:
-    return _PERCENT_RUN.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode(errors="lodestone.percent"), part)
+def _character(escape: str) -> str:
+    digits = escape.strip("%\\u{}x&#X;")
+    code = int(digits, 10 if escape[0] == "&" and escape[2] not in "xX" else 16)
+    return "\ufffd" if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code)
 
 
-def _unescape(part: str) -> str | None:
-    def one(m: re.Match) -> str:
-        code = int(m[1] or m[2] or m[4] or "0", 16) if m[3] is None else int(m[3])
-        return chr(code) if code < 0x110000 else m[0]
+def _unescaped(layer: Layer) -> Layer | None:
+    """The layer without escapes, those that others make included; None if it has none.
 
-    out = _SURROGATES.sub(lambda m: m[0].encode("utf-16", "surrogatepass").decode("utf-16"), _ESCAPE.sub(one, part))
-    return out.encode("utf-8", "replace").decode()
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = codecs.getincrementaldecoder("utf-8")().decode(data, final=len(data) < MAX_LAYER)  # the bound may cut a character
-    except UnicodeDecodeError:
+    One pass: where a new character completes an escape with those before and after it, that is unwrapped at once."""
+    text, at = layer.text, 0
+    if not _ESCAPE.search(text):
         return None
-    return text if text and not any(c < " " and c not in "\t\n\r\f\v" for c in text) else None
-
-
-def _inflate(data: bytes) -> bytes | None:
-    """data unpacked once, all members of it, if it begins as gzip, zlib, bzip2 or xz data does."""
-    out, room = [], MAX_LAYER
-    try:
-        while data and room:
-            if data[:2] == b"\x1f\x8b":
-                unpacker = zlib.decompressobj(31)
-            elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-                unpacker = zlib.decompressobj()
-            elif data[:3] == b"BZh":
-                unpacker = bz2.BZ2Decompressor()
-            elif data[:6] == b"\xfd7zXZ\x00":
-                unpacker = lzma.LZMADecompressor()
-            else:
+    parts: list[str] = []
+    starts, ends = [], []  # of whole parts, as places in the layer
+    last: list[tuple[str, int, int]] = []  # the characters before `at` that an escape may still take in
+
+    def settle(keep: int) -> None:
+        if len(last) > keep:
+            done = last[: len(last) - keep]
+            del last[: len(last) - keep]
+            parts.append("".join(c for c, _, _ in done))
+            starts.append(np.array([a for _, a, _ in done]))
+            ends.append(np.array([b for _, _, b in done]))
+
+    def plain(upto: int) -> None:
+        nonlocal at
+        if upto - at > _LONGEST:
+            settle(0)
+            parts.append(text[at : upto - _LONGEST])
+            starts.append(np.arange(at, upto - _LONGEST))
+            ends.append(np.arange(at + 1, upto - _LONGEST + 1))
+            at = upto - _LONGEST
+        last.extend((text[k], k, k + 1) for k in range(at, upto))
+        at = upto
+
+    while m := _ESCAPE.search(text, at):
+        plain(m.start())
+        at = m.end()
+        last.append((_character(m[0]), m.start(), at))
+        while last[-1][0] in _ACTIVE:
+            before = last[-_LONGEST:]
+            near = "".join(c for c, _, _ in before) + text[at : at + _LONGEST]
+            made = next((x for k in range(len(before)) if (x := _ESCAPE.match(near, k)) and x.end() >= len(before)), None)
+            if made is None:
                 break
-            out.append(unpacker.decompress(data, room))
-            room -= len(out[-1])
-            data = unpacker.unused_data.lstrip(b"\0")  # xz streams may be padded
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
-    return b"".join(out) if out else None
-
-
-def _base64(part: str) -> str | None:
-    body = part.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (inner := _inflate(data)) and (key := hashlib.sha256(inner).digest()) not in seen:
-        seen.add(key)
-        data = inner
-    return _readable(data)
-
-
-def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
-    """Base64 broken into lines of equal width, as (start, end, joined); a shorter last line may belong to it or not."""
-    for m in _LINES.finditer(text):
-        first = at = m.start()
-        width, run = 0, []
-        for line in [*m[0].split(), ""]:
-            if run and len(line) != width:
-                if line and len(line) < width:
-                    yield first, text.index(line, at) + len(line), "".join([*run, line])
+            at += made.end() - len(before)
+            begin = before[made.start()][1]
+            del last[len(last) - len(before) + made.start() :]
+            last.append((_character(made[0]), begin, at))
+        if len(last) > 1 << 12:
+            settle(_LONGEST)
+    plain(len(text))
+    settle(0)
+    return Layer("".join(parts), layer.start[np.concatenate(starts)], layer.end[np.concatenate(ends) - 1])
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 in a text, as the (start, end) of its lines: every run, and runs over lines of equal width.
+
+    A shorter last line may belong to the run or not."""
+    lined = 0
+    for m in _RUN.finditer(text):
+        yield [m.span()]
+        if m.start() < lined:
+            continue
+        lines = [m.span()]
+        while text[lines[-1][1] - 1] != "=" and (n := _NEXT_LINE.match(text, lines[-1][1])):
+            lines.append(n.span(1))
+        lined = lines[-1][1]
+        run: list[tuple[int, int]] = []
+        for line in [*lines, (lined, lined)]:
+            width = line[1] - line[0]
+            if run and width != run[0][1] - run[0][0]:
+                if 0 < width < run[0][1] - run[0][0]:
+                    yield [*run, line]
                 if len(run) > 1:
-                    yield first, at, "".join(run)
+                    yield run
                 run = []
-            if line:
-                begin = text.index(line, at)
-                if not run:
-                    first, width = begin, len(line)
-                run.append(line)
-                at = begin + len(line)
-
-
-def _layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """Each encoded part of a text, as (start, end, what it holds)."""
-    ways = []
-    if "%" in text:
-        ways.append((_PERCENT, _percent))
-    if "\\u" in text or "\\x" in text or "&#" in text:
-        ways.append((_ESCAPED, _unescape))
-    ways.append((_BASE64, _base64))
-    for pattern, decode in ways:
-        for m in pattern.finditer(text):
-            inner = decode(m[0])
-            if inner is not None and inner != m[0]:
-                yield m.start(), m.end(), inner
-    if "\n" in text:
-        for start, end, part in _wrapped(text):
-            if (inner := _base64(part)) is not None:
-                yield start, end, inner
+            run.append(line)
+
+
+def _decoded(layer: Layer) -> Iterator[Layer]:
+    """What each run of base64 holds in each of its alignments, where that is worth a look."""
+    for lines in _runs(layer.text):
+        whole = "".join(layer.text[a:b] for a, b in lines)
+        body = whole.rstrip("=").translate({45: 43, 95: 47})
+        for skip in range(4):
+            size = len(body) - skip
+            size -= size % 4 == 1
+            text = base64.b64decode(body[skip : skip + size] + "=" * (-size % 4)).decode("latin-1")
+            if not _WORTH.search(text):
+                continue
+            places = np.concatenate([np.arange(a, b) for a, b in lines])
+            bits = 8 * np.arange(len(text))
+            start, end = layer.start[places[skip + bits // 6]], layer.end[places[skip + (bits + 7) // 6]]
+            end[-1] = layer.end[places[-1]]  # with its padding
+            yield Layer(text, start, end)
+
+
+def _windows(unpack, data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What an unpacker makes of data from a place on, at most WINDOW bytes at a time, each with the place it has come
+    to.  What comes before damage counts.  Data are fed in growing pieces, as most that look like a stream are none."""
+    held, size, left, step = [], 0, b"", 256
+    try:
+        while not unpack.eof and (left or at < len(data) or size == WINDOW):
+            if not left and getattr(unpack, "needs_input", True):
+                left, at, step = data[at : at + step], at + step, min(4 * step, 1 << 20)
+            held.append(unpack.decompress(left, WINDOW - size))
+            left = getattr(unpack, "unconsumed_tail", b"")
+            size += len(held[-1])
+            if size == WINDOW:
+                yield b"".join(held), min(at, len(data)) - len(left) - len(unpack.unused_data)
+                held, size = [], 0
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        pass
+    if size:
+        yield b"".join(held), min(at, len(data)) - len(left) - len(unpack.unused_data)
+
+
+def _unpacked(layer: Layer, data: bytes) -> Iterator[Layer]:
+    """What compressed streams among a layer's bytes hold, members that follow one another together."""
+    at, ended, tail, before = 0, -1, b"", None
+    while m := _MAGIC.search(data, at):
+        kind = m.lastindex
+        unpack = zlib.decompressobj(31 if kind == 1 else 15) if kind < 3 else bz2.BZ2Decompressor() if kind == 3 else lzma.LZMADecompressor()
+        start, at = m.start(), m.start() + 1
+        if data[ended:start].strip(b"\0"):  # xz streams may be padded
+            tail = b""
+        for out, end in _windows(unpack, data, start):
+            held, size = tail + out, (len(tail) + len(out),)
+            starts = np.broadcast_to(layer.start[start], size)
+            if tail and before != start:
+                starts = np.concatenate([np.full(len(tail), layer.start[before]), starts[: len(out)]])
+            tail, before = held[-OVERLAP:], before if tail and len(held) <= OVERLAP else start
+            yield Layer(held.decode("latin-1"), starts, np.broadcast_to(layer.end[end - 1], size))
+            if unpack.eof:
+                at = ended = end
+
+
+def _layers(layer: Layer) -> Iterator[Layer]:
+    """Each layer that one holds directly."""
+    if (plain := _unescaped(layer)) is not None:
+        yield plain
+    yield from _decoded(layer)
+    yield from _unpacked(layer, layer.text.encode("latin-1", "replace"))
 
 
 def all_spans(text: str) -> list[tuple[int, int, str]]:
     """Base spans and those of every layer, mapped to the text, ascending and once each."""
-    found = set(base_spans(text))
-    work = [(s, e, inner) for s, e, inner in _layers(text)]
-    seen = {(s, e, inner) for s, e, inner in work}
+    found, seen = set(base_spans(text)), set()
+    work = [_layers(Layer.of(text))] if _WORTH.search(text) else []
     while work:
-        start, end, layer = work.pop()
-        found.update((start, kind, end) for _, kind, _ in base_spans(layer))
-        for _, _, inner in _layers(layer):
-            if (start, end, inner) not in seen:
-                seen.add((start, end, inner))
-                work.append((start, end, inner))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode(), digest_size=16).digest(), int(layer.start[0]), int(layer.end[-1])) if layer.text else None
+        if key is None or key in seen:
+            continue
+        seen.add(key)
+        found.update((int(layer.start[s]), kind, int(layer.end[e - 1])) for s, kind, e in base_spans(layer.text))
+        work.append(_layers(layer))
     return sorted(found)
 
 
