@@ -3,13 +3,13 @@
 A pattern is a window of SIZE consecutive words of a benchmark item (a whole item if it is shorter).  All
 patterns of one length m share a table of shifts, indexed by a hash of two neighbouring words: how far the
 search may move on when it meets these two words at the end of its window.  A cursor moves through the
-words by these shifts; where the shift is 0 a bucket of the patterns that end in these words is chosen, and
-the window is compared with them, first by 64-bit hash, then byte by byte.  Many cursors, one for each
-stretch of words, move in step, as numpy arrays.
+words by these shifts; where the shift is 0 the bucket of the patterns that end in these words is chosen, and
+the window is compared with its strings: those of its hash are found by bisection within the bucket, and each of
+them is compared byte by byte.  Many cursors, one for each stretch of words, move in step, as numpy arrays.
 
 The benchmark is split into blocks of at most BLOCK_WORDS words, so the broadcast tables have a bounded
 size; each block is one pass over the documents, and passes are united by document.  One block, the usual
-case, needs no shuffle.
+case, needs no shuffle; of several, the driver holds two at most, and each pass is stored before the next.
 
 Defined results: null, empty and wordless texts have no words and no hits; items without words never occur;
 items of equal text all count; repeated rows of documents each get a result; items with a null id are not
@@ -21,13 +21,16 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import release, store
 
 SIZE = 10
 #: Words of benchmark items that one broadcast table holds at most (one longer item makes its own table).
@@ -42,18 +45,16 @@ class Patterns:
 
     def __init__(self, length: int, texts: list[bytes], hashes: np.ndarray, words: np.ndarray) -> None:
         """hashes: rolling hash of each pattern; words: word hashes, one row a pattern."""
-        order = np.argsort(hashes, kind="stable")
         self.length, self.width = length, min(2, length)
+        ends = _key(words[:, -1], words[:, -self.width])
+        order = np.lexsort((hashes, ends))
         self.texts, self.hashes = [texts[i] for i in order], hashes[order]
+        # The bucket of each two-word suffix: where its patterns, ascending by hash, begin and end.
+        self.begin, self.end = (np.searchsorted(ends[order], np.arange(1 << _SHIFT_BITS), side) for side in ("left", "right"))
         self.shift = np.full(1 << _SHIFT_BITS, length - self.width + 1, np.int64)
         for end in range(self.width, length + 1):
             key = _key(words[:, end - 1], words[:, end - self.width])
             np.minimum.at(self.shift, key, length - end)
-        # Of each two-word suffix: the sorted hashes of the windows that end in it.
-        self.bucket = defaultdict(list)
-        for h, key in zip(self.hashes, _key(words[order, -1], words[order, -self.width]), strict=True):
-            self.bucket[int(key)].append(int(h))
-        self.bucket = {k: np.array(v, np.uint64) for k, v in self.bucket.items()}
 
     def find(self, block: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of every occurrence in a block of documents."""
@@ -80,13 +81,20 @@ class Patterns:
         first = first[doc[first] == doc[ends[: len(first)]]]
         if not len(first):
             return none, none
-        window = W.rolling(hashes, m)[first]
-        # The suffix's bucket holds few windows; a position whose window is in none of it is no occurrence.
-        place = np.minimum(np.searchsorted(self.hashes, window), len(self.hashes) - 1)
-        same = self.hashes[place] == window
-        first, place = first[same], place[same]
-        checked = [i for i, (a, p) in enumerate(zip(first, place, strict=True)) if int(keys[a + m - 1]) in self.bucket and block.text(a, a + m) == self.texts[p]]
-        return first[checked], place[checked]
+        window, key = W.rolling(hashes, m)[first], keys[first + m - 1]
+        low, high, end = self.begin[key], self.end[key], self.end[key]
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = self.hashes[np.minimum(middle, len(self.hashes) - 1)] < window
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        found, which, live = [], [], np.arange(len(first))
+        while len(live := live[low[live] < end[live]]) and len(live := live[self.hashes[low[live]] == window[live]]):
+            for i in live:
+                if block.text(first[i], first[i] + m) == self.texts[low[i]]:
+                    found.append(first[i])
+                    which.append(low[i])
+            low[live] += 1
+        return np.array(found, np.int64), np.array(which, np.int64)
 
 
 def _key(last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -150,16 +158,22 @@ def _digest(items: list[str]) -> str:
 def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, items (sorted), items_sha256, contaminated."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    indexes = list(_blocks(benchmark.where("text is not null"))) or [Index([])]
-    if len(indexes) == 1:
-        found = _pass(docs, indexes[0], masks=False)
+    indexes = _blocks(benchmark.where("text is not null"))
+    index, more = next(indexes, Index([])), next(indexes, None)
+    if more is None:
+        found, _ = _pass(docs, index, masks=False)
     else:
-        found = _united([_pass(docs.withColumn("row", F.xxhash64("doc_id", "text")), x, masks=True) for x in indexes])
+        passes, docs = [], docs.withColumn("row", F.xxhash64("doc_id", "text"))
+        for index in chain((index, more), indexes):
+            done, held = _pass(docs, index, masks=True)
+            passes.append(store(done))
+            held.unpersist()
+        found = _united(passes)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select("doc_id", "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _pass(docs: DataFrame, index: Index, masks: bool) -> DataFrame:
+def _pass(docs: DataFrame, index: Index, masks: bool) -> tuple[DataFrame, Broadcast]:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,7 @@ def _pass(docs: DataFrame, index: Index, masks: bool) -> DataFrame:
                 names += ["row", "at"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>" + ", row long, at array<long>" * masks)
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>" + ", row long, at array<long>" * masks), held
 
 
 def _united(passes: list[DataFrame]) -> DataFrame:
@@ -187,16 +201,21 @@ def _united(passes: list[DataFrame]) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, in which no window of the benchmark occurs."""
-    place = docs.columns.index(text)
+    place, kept = docs.columns.index(text), None
     for index in _blocks(benchmark.where("text is not null")):
+        if kept is not None:
+            # A further block: what the last one kept is stored first, so that no more than two are held.
+            before, docs = docs, store(kept)
+            if hasattr(before, "stored_in"):
+                release(before)
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not hit.any() for _, _, _, hit in held.value.search(batch.column(place))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        kept = docs.mapInArrow(run, docs.schema)
+    return docs if kept is None else kept
 
 
 #: DuckDB: the rows of annotate(), without items.

@@ -12,6 +12,8 @@ import zlib
 from collections import defaultdict
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import decontaminate, html, language, mixing, near_dup, quality, repeats, secrets, toxicity, urls
@@ -300,11 +302,31 @@ def test_decontamination(spark, docs, empty):
     old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 5
     try:
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in decontaminate.annotate(docs, benchmark).collect()) == got
+        clean = [str(r.doc_id) for r in decontaminate.keep_clean(docs, benchmark).collect()]
+        assert sorted(clean) == sorted(g[0] for g in got if not g[2])
     finally:
         decontaminate.BLOCK_WORDS = old
     assert decontaminate.annotate(empty, benchmark).count() == 0 and decontaminate.annotate(docs, benchmark.where("1 = 0")).where("contaminated").count() == 0
 
 
+def test_decontamination_compares_what_buckets_hold():
+    words = [f"w{k % 7}" for k in range(400)]
+    index = decontaminate.Index([("a", " ".join(words[:30])), ("b", " ".join(words[3:15]))])
+    column = pa.array([" ".join(words)])
+    [(_, n, items, hit)] = index.search(column)
+    assert n == hit.sum() == 400 and items == {"a", "b"}
+    patterns = index.patterns[0]
+    # Two strings of one hash are both compared.
+    patterns.hashes[:] = patterns.hashes[0]
+    rolling, decontaminate.W.rolling = decontaminate.W.rolling, lambda h, m: np.full(len(h) - m + 1, patterns.hashes[0])
+    try:
+        assert [x[3].sum() for x in index.search(column)] == [400]
+        patterns.end = patterns.begin
+        assert [x[3].sum() for x in index.search(column)] == [0]
+    finally:
+        decontaminate.W.rolling = rolling
+
+
 def test_html():
     page = "<head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div id=main><h1>Big &amp; old</h1><p>One, two.  Three\nfour, five.<p>Six.<br>Seven<script>p</script></div><div class='side sidebar'><p>No, not this. Never, ever.</p></div><section id=comments><p>Reader, says this.</p></section>"
     assert html.main_text(page) == "Big & old\n\nOne, two. Three four, five.\n\nSix. Seven"
