@@ -334,6 +334,41 @@ def test_html():
     assert html.main_text("plain text") == "plain text"
 
 
+PROSE = "Some real text, with commas and stops. " * 12
+LAYOUTS = {
+    "divs, a box beside the text": (f"<div id=top class='site-header'><a href=/>Home</a></div><div class=content><h1>T</h1><p>{PROSE}</p><p>Ok.</p><div class=b><p>Buy now cheap cheap</p></div></div><div class='site-footer'>f</div>", ["T", PROSE, "Ok."]),
+    "main, title outside of the body": (f"<nav>n</nav><main><h1>T</h1><div class=body><p>{PROSE}</p><ul><li>one<li>two</ul></div></main><aside>{PROSE}</aside>", ["T", PROSE, "one", "two"]),
+    "several articles": (f"<div id=wrap><div class='cookie-notice'>{PROSE}</div><article><p>{PROSE}</p></article><article><h2>U</h2><p>Short one.</p></article><section class='comments'><p>{PROSE}</p></section></div>", [PROSE, "U", "Short one."]),
+    "classes that only sound like menus": (f"<article><h1 id=search-results>A</h1><p>{PROSE}</p><section class=related-work><p>Others did.</p></section><blockquote class=social>q</blockquote><p class='search tags'>st</p><math>x</math><xmp>a<b</xmp><object>fall</object><div class=ad>Buy</div><form>f</form></article>", ["A", PROSE, "Others did.", "q", "st", "x", "a<b", "fall"]),
+    "tables": (f"<table class=nav><tr><td><a href=a>a</a><td><a href=b>b</a></table><table><tr><td><p>{PROSE}<p>{PROSE}</table><table class=footer><tr><td>f</table>", [PROSE, PROSE]),
+    "bare text": (f"<a href=x>Skip</a><br>{PROSE}", ["Skip " + PROSE]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_layouts(name):
+    page, blocks = LAYOUTS[name]
+    assert html.main_text(page) == "\n\n".join(x.strip() for x in blocks)
+
+
+def test_html_of_awkward_pages(spark):
+    page = LAYOUTS["divs, a box beside the text"][0]
+    given = [None, "", "<p></p>", page, page, f"<article><p>{PROSE * 2000}</article>", "<div>" * 20_000 + "deep", "<p>cut <b", "a & b &lt;c&gt; &#x41;"]
+    rows = [(k if k != 3 else None, f"u{k}", x, "t", 1) for k, x in enumerate(given)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = {(x.page_id, x.url): x.text for x in html.extract(pages).collect()}
+    assert html.extract(pages).columns == ["page_id", "url", "text"] and html.extract(pages.where("1 = 0")).count() == 0
+    assert [got[k, f"u{k}"] for k in (0, 1, 2)] == ["", "", ""] and got[None, "u3"] == got[4, "u4"] != ""
+    assert got[5, "u5"] == (PROSE * 2000).strip() and got[6, "u6"] == "deep" and got[7, "u7"] == "cut" and got[8, "u8"] == "a & b <c> A"
+
+
+@pytest.mark.parametrize("page", ["<div>text " * 100_000, "<ul>" + "<li><div>a" * 50_000, "<p class=\"x>a '" * 50_001, "<div>" * 50_000 + "</div><li>x" * 50_000, "<p " + "a=b " * 200_000], ids=range(5))
+def test_html_takes_time_in_proportion(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 6
+
+
 def test_language(spark, docs, empty):
     r = random.Random(3)
     kinds = {"en": "the of and ing tion".split(), "de": "der und sch keit nicht".split()}
