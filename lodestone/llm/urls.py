@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from functools import cache
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +23,48 @@ from pyspark.sql import functions as F
 #: Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The labelled table: hosts and paths of unwanted and of wanted kinds.
+#: The labelled table: hosts and paths of unwanted kinds (gambling, pills, adult, loans, fraud, pirated software,
+#: advertising) and of wanted ones, written for it; no row is taken from any corpus.
 BLOCKED = """
-free-bets.example.com/en/1 casino-bonus.example.org/play best-casino.example.com/slots online-poker.example.com/win
-sports-bets.example.org/odds cheap-pills.example.com/buy buy-pills-online.example.org/shop viagra-shop.example.com/order
-hot-xxx.example.com/video adult-cams.example.org/live free-porn.example.com/watch sexy-dates.example.org/chat
-win-prizes.example.com/claim free-money.example.org/now fast-loans.example.com/apply payday-loans.example.org/cash
-crypto-doubler.example.com/invest replica-watches.example.org/sale warez-download.example.com/crack keygen-crack.example.org/serial
-free-casino.example.com/de/7 lottery-winner.example.com/claim betting-tips.example.org/en/3 download-torrent.example.com/free
-cheap-meds.example.com/fr/12 click-ads.example.org/track popunder-ads.example.com/serve tracker-pixel.example.org/ads
+free-bets.com/en/1 casino-bonus.org/play best-casino.com/slots online-poker.com/win sports-bets.org/odds live-casino.net/roulette
+royalslots.com/spin pokerbonus.org/join bet-football.com/odds betting-tips.org/today lucky-jackpot.com/spins bingo-bonus.com/play
+cheap-pills.com/buy buy-pills-online.org/shop viagra-shop.com/order cheap-meds.com/12 diet-pills.org/offer cialis-online.com/buy-now
+pharma-discount.net/pills weight-loss-miracle.com/order hot-xxx.com/video adult-cams.org/live free-porn.com/watch sexy-dates.org/chat
+xxx-tube.net/videos hotcams.com/girls adult-dating.com/singles nude-pics.org/gallery sex-chat.com/live adult-films-free.org/hd
+win-prizes.com/claim free-money.org/now lottery-winner.com/claim claim-reward.net/gift free-iphone.com/winner gift-card-free.org/claim
+fast-loans.com/apply payday-loans.org/cash quick-cash.com/loan bad-credit-loans.net/apply instant-loan.org/approved debt-relief.com/cash-now
+crypto-doubler.com/invest bitcoin-profit.org/invest forex-signals.net/profit get-rich-quick.com/invest make-money-fast.org/join
+replica-watches.org/sale cheap-handbags.com/replica discount-replica.net/rolex warez-download.com/crack keygen-crack.org/serial
+download-torrent.com/free free-cracks.net/keygen torrent-movies.org/download cracked-apps.com/apk serial-keys.org/crack
+click-ads.org/track popunder-ads.com/serve tracker-pixel.org/ads adserver.net/banner ads.clicktrack.com/pixel popup-ads.org/click
+banner-exchange.com/click affiliate-clicks.net/track pixel.adnetwork.com/serve verify-account-login.com/bank secure-wallet-login.net/verify
+account-update.org/password bank-verify.com/signin free-casino.com/7 casinoslots.org/bonus pokerstars-bonus.net/free bets-online.com/win
+cheap-viagra.org/pills online-pharmacy-pills.com/cheap loans-cash.org/payday porn-videos.net/xxx camgirls.com/live-sex
 """.split()
 ALLOWED = """
-www.university.example.org/research news.daily.example.com/world blog.author.example.org/2020/notes docs.library.example.com/guide
-www.museum.example.org/history wiki.science.example.com/physics m.weather.example.org/today www.recipes.example.com/bread
-forum.garden.example.org/topics www.cityhall.example.com/services school.example.org/lessons blog.travel.example.com/en/14
-www.theory.example.org/fr/88 m.thread.example.com/es/45 shop.books.example.org/novels www.journal.example.com/de/31
-health.clinic.example.org/advice www.music.example.com/reviews code.project.example.org/readme www.nature.example.com/birds
-the.example.org/en/9 www.thering.example.com/en/10 blog.tion.example.org/es/2 m.there.example.com/fr/5.html
-www.thing.example.org/en/77 thand.example.com/es/6 blog.with.example.com/en/4 m.hand.example.org/de/8
+www.university.org/research news.daily.com/world blog.author.org/2020/notes docs.library.com/guide www.museum.org/history
+wiki.science.com/physics m.weather.org/today www.recipes.com/bread forum.garden.org/topics www.cityhall.com/services school.org/lessons
+blog.travel.com/14 shop.books.org/novels www.journal.com/31 health.clinic.org/advice www.music.com/reviews code.project.org/readme
+www.nature.com/birds www.college.org/admissions library.city.org/catalogue www.gazette.com/politics morningpost.net/2021/06/economy
+www.theatre.org/season www.gallery.com/exhibitions www.bakery.com/about www.orchestra.org/concerts botanical-garden.org/plants
+www.observatory.org/stars farm-market.com/vegetables www.hospital.org/departments chess-club.net/tournaments www.railway.org/timetable
+hiking-trails.com/maps www.parish.org/events www.carpentry.com/workshop cooking.family.net/soups www.astronomy.org/planets
+docs.software.org/install www.linguistics.org/papers www.parliament.org/debates history.archive.org/documents www.physics.org/lectures
+www.kindergarten.com/parents photo.studio.com/portraits www.architecture.org/buildings geology.institute.org/maps www.radio.com/programme
+www.choir.org/rehearsals village-news.com/council www.bicycle.org/repair local.history.net/stories www.statistics.org/tables
+encyclopedia.com/article/volcano dictionary.org/word/house www.translation.org/services www.engineering.com/bridges
+pets.veterinary.org/advice www.hotel.com/rooms restaurant.com/menu www.cinema.org/films www.yoga.org/classes swim-club.org/results
+en.reference.org/wiki/Rome de.reference.org/wiki/Berlin fr.reference.org/wiki/Paris www.biology.org/cells www.mathematics.org/proofs
+blog.gardening.com/roses www.poetry.org/poems m.news.com/sports/football www.marathon.org/results www.beekeeping.com/honey
+www.public-library.org/opening-hours www.community.org/volunteers www.philosophy.org/essays www.economist-notes.com/markets
+climate.research.org/data ocean.institute.org/tides www.novelist.com/chapters www.teacher.org/worksheets open-data.org/datasets
+tutorial.programming.org/loops www.fishing.org/rivers www.knitting.com/patterns www.heritage.org/castles www.fire-brigade.org/safety
 """.split()
 
 BUCKETS, GRAMS = 4096, (3, 4)
 #: A URL whose blocking probability reaches this is blocked.
 LIMIT = 0.8
+EPOCHS, RATE, DECAY = 60, 0.02, 1e-5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,17 +79,28 @@ def _grams(text: str) -> list[int]:
     return found
 
 
-@cache
-def weights() -> tuple[tuple[float, ...], float]:
-    """Weights and bias, by gradient descent with an L2 penalty, in table order."""
-    rows = [(_grams(f"^{u}$"), y) for pair in zip(BLOCKED, ALLOWED, strict=True) for u, y in zip(pair, (1, 0), strict=True)]
+def train(rows: list[tuple[str, int]]) -> tuple[list[float], float]:
+    """Weights and bias from (host and path, 1 if unwanted), by gradient descent with an L2 penalty, in the order of rows."""
+    known = [(_grams(f"^{u}$"), y) for u, y in rows]
     w, b = [0.0] * BUCKETS, 0.0
-    for _ in range(60):
-        for grams, y in rows:
+    for _ in range(EPOCHS):
+        for grams, y in known:
             p = 1 / (1 + math.exp(-(b + sum(w[g] for g in grams))))
             for g in grams:
-                w[g] -= 0.02 * (p - y) + 1e-5 * w[g]
-            b -= 0.02 * (p - y)
+                w[g] -= RATE * (p - y) + DECAY * w[g]
+            b -= RATE * (p - y)
+    return w, b
+
+
+def labelled() -> list[tuple[str, int]]:
+    """The labelled table, kinds in turn as far as both go."""
+    pairs = zip_longest(((u, 1) for u in BLOCKED), ((u, 0) for u in ALLOWED))
+    return [row for pair in pairs for row in pair if row is not None]
+
+
+@cache
+def weights() -> tuple[tuple[float, ...], float]:
+    w, b = train(labelled())
     return tuple(round(x, 6) for x in w), round(b, 6)
 
 
@@ -99,28 +130,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def logit(host: Column, path: Column) -> Column:
-    """The regression's logit; the text and the weights are bound once for each row."""
+    """The regression's logit.  The text is split into code points once for each row, so work is in proportion to it."""
     w, b = weights()
     table = F.split(F.lit(",".join(map(str, w))), ",").cast("array<double>")
 
-    def weight(text: Column, i: Column, n: int) -> Column:
-        h = F.lit(n).cast("long")
-        for k in range(n):
-            h = h * 131 + F.ascii(F.substr(text, (i + k).cast("int"), F.lit(1)))
-        return F.element_at(table, (h % BUCKETS).cast("int") + 1)
+    def of_length(codes: Column, n: int) -> Column:
+        def weight(i: Column) -> Column:
+            h = F.lit(n).cast("long")
+            for k in range(n):
+                h = h * 131 + F.get(codes, i + k)
+            return F.element_at(table, (h % BUCKETS).cast("int") + 1)
 
-    def of_length(text: Column, n: int) -> Column:
-        count = F.length(text) - n + 1
-        places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + weight(text, i, n))
+        count = F.size(codes) - n + 1
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + weight(i))
 
-    def total(text: Column) -> Column:
+    def total(codes: Column) -> Column:
         out = F.lit(b)
         for n in GRAMS:
-            out = out + of_length(text, n)
+            out = out + of_length(codes, n)
         return out
 
-    return F.element_at(F.transform(F.array(F.concat(F.lit("^"), host, path, F.lit("$"))), total), 1)
+    codes = F.transform(F.split(F.concat(F.lit("^"), host, path, F.lit("$")), ""), F.ascii)
+    return F.element_at(F.transform(F.array(codes), total), 1)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
