@@ -23,7 +23,7 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Percent of a line's characters in words that may be symbols; of a line's words that may shout; of a
 #: document's characters in words that may be lost.
-MOST_SYMBOLS, MOST_SHOUTS, MOST_LOST = 10, 30, 80
+MOST_SYMBOLS, MOST_SHOUTS, MOST_LOST = 10, 30, 50
 #: Words that a piece between bars or arrows has at most, on average, in navigation.
 PIECE_WORDS = 3
 BOILERPLATE = ("all rights reserved", "licensed under the", "privacy policy", "terms of use", "terms of service", "accept cookies", "use cookies", "sign in", "log in", "subscribe now", "click here", "read more", "enable javascript")

@@ -442,3 +442,27 @@ def test_quality(docs, empty):
     assert sorted((str(x.doc_id), x.n_words, x.word_chars, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in got) == sorted(expected)
     assert not any(x.kept and x.base_failed for x in got) and any(x.kept for x in got)
     assert quality.measure(empty).count() == 0
+
+
+def test_quality_rejects_what_is_mostly_no_prose(spark):
+    prose = ["The first sentence of this text says something.", "And the next one, no shorter, says something else.", "A third line ends it."]
+    junk = {
+        "navigation": "Home | News | Sports | About | Contact | Search | Maps | Shops | Jobs | Trips | Cars | Pets | Help | Terms | Login",
+        "symbols": "###### $$$$$$ %%%%%% one ****** two |||||| three &&&&&& four <><><> five ###### six $$$$$$ seven ****** eight",
+        "boilerplate": "Copyright of this whole page and everything that is on it, all rights reserved by the owners of the place.",
+    }
+    rows = []
+    for k, line in enumerate(junk.values()):
+        rows += [(10 * k, "\n".join([*prose, line[: len(line) // 4 if k < 2 else None]])), (10 * k + 1, "\n".join([prose[2], line])), (10 * k + 2, "\n".join(prose))]
+    got = {r.doc_id: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[k].kept for k in range(3)] == [got[10 + k].kept for k in range(3)] == [True, False, True]
+    assert [got[20 + k].kept for k in range(3)] == [True, False, True] and got[20].clean_text == "\n".join(prose)
+
+
+def test_quality_agrees_with_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg({"quality": "max"}).withColumnRenamed("max(quality)", "q")
+    rows = quality.measure(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
+    # One good document of 14 words, most of them in a license line, is rejected.
+    assert len(rows) > 300 and [r.doc_id for r in rows if r.kept != (r.q == 1)] == [156]
