@@ -10,7 +10,7 @@ prefix over the ranges, and the cut is found among as many ranges of finish time
 only the range that holds the cut is put in order.  Ties go by source, md5, doc_id and round.
 
 Defined results: null, empty and wordless texts have size 0 and take nothing; null sources are one source,
-the last; null doc_ids share one place in the shuffle; repeated rows are documents of their own; a source
+the last; rows with a null doc_id are shuffled by their size; repeated rows are documents of their own; a source
 without words has target 0; without any words every target is 0.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, store
 
 #: Weights of the sources, by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,14 +27,16 @@ WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)
 #: How often a document can be taken at most.
 ROUNDS = 2
-#: Rows that one range of the shuffle, or of finish times, holds about.
-RANGE_ROWS = 2000
+#: Sources whose targets are broadcast at most; more are joined by a shuffle.
+SOURCES = 10_000
+#: Rows that one range of the shuffle, or of finish times, holds about; ranges of finish times there are at most.
+RANGE_ROWS, RANGES = 2000, 1 << 16
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words `[^\\x20\\x09-\\x0D]+`; source as text."""
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, columns to keep, size in words `[^\\x20\\x09-\\x0D]+`; source as text."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *keep, size.alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -57,26 +59,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 
 
 def mix(sizes: DataFrame, **settings) -> DataFrame:
-    """sizes: doc_id, source, size.  One row for each: doc_id, source, size, source_size, target, copies, taken."""
+    """sizes: doc_id, source, size.  One row for each: doc_id, source, size, source_size, target, copies, taken, and its
+    other columns, by which ties are put in order."""
     rounds = settings.get("rounds", ROUNDS)
-    sizes = cut(sizes.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
+    others = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    place_of = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("size").cast("string")))
+    sizes = cut(sizes.withColumn("h", F.md5(place_of.cast("binary"))))
     n = sizes.count()
     digits = 1
     while 16**digits * RANGE_ROWS < n:
         digits += 1
     goal = cut(targets(sizes, **settings))
     budget = goal.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    sizes = sizes.withColumn("part", F.substring("h", 1, digits))
+    # Rows without words take nothing, and stay out of the queues.
+    none, sizes = sizes.where("size = 0"), sizes.where("size > 0").withColumn("part", F.substring("h", 1, digits))
     parts = sizes.groupBy("source", "part").agg(F.sum("size").alias("in_part"))
     parts = parts.withColumn("before", F.coalesce(F.sum("in_part").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), "before")
-    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, 0))
     rows = sizes.withColumn("inside", inside)
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("upto", F.col("before") + F.col("inside")).drop("s", "p", "part", "before", "inside")
     named = goal.select(F.col("source").alias("s"), "place", "source_size", "target")
-    rows = cut(rows.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    rows = rows.unionByName(none.withColumn("upto", F.lit(0).cast("long")))
+    rows = cut(rows.join(F.broadcast(named) if goal.count() <= SOURCES else named, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
 
-    ranges = max(64, n // RANGE_ROWS)
+    ranges = max(64, min(n // RANGE_ROWS, RANGES))
     finish = lambda r: (F.col("upto") + r * F.col("source_size")) / F.col("target")
     bin_of = lambda f: F.least(F.floor(f * ranges), F.lit(8 * ranges)).cast("long")
     queue = rows.where("size > 0").select("place", "h", "doc_id", "size", F.explode(F.array(*[F.struct(F.lit(r).alias("round"), finish(r).alias("finish")) for r in range(rounds)])).alias("c"))
@@ -100,22 +107,22 @@ def mix(sizes: DataFrame, **settings) -> DataFrame:
                 end = F.struct(F.lit(top["finish"]).alias("finish"), F.lit(top["place"]).alias("place"), F.lit(top["h"]).alias("h"), F.lit(-1 << 63 if top["doc_id"] is None else top["doc_id"]).cast("long").alias("doc_id"), F.lit(top["round"]).alias("round"))
                 taken = taken | ((bin_of(finish(r)) == at) & (here <= end))
             copies = copies + F.when((F.col("size") > 0) & taken, 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("int")).select("doc_id", "source", "size", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"), "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return rows.withColumn("copies", copies.cast("int")).select("doc_id", "source", "size", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"), "copies", *others, (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of docs, as often as they are taken, with a column `copy` from 1.
 
-    Rows that share a doc_id are taken as often as the one that is taken most."""
-    plan = mix(sized(docs), **settings).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    taken = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy" if "copy" not in docs.columns else "mix_copy"))
+    Rows are numbered in a written table, so that equal ones, and those that share a doc_id, are drawn each by itself."""
+    keyed = store(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    plan = mix(sized(keyed, "_mix_row"), **settings).where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
+    return keyed.join(plan, "_mix_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy" if "copy" not in docs.columns else "mix_copy"))
 
 
 #: DuckDB: the rows of mix(), without source and copies.
 SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                      md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+                      md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || size)) AS h FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source),
 weighed AS (SELECT *, 2 * source_size AS most, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM per),
 ordered AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS words,

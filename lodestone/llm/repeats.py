@@ -13,7 +13,8 @@ n documents share costs n rows, never n * n.
 What is shuffled: texts once, by bucket of documents; then, from each bucket to each range of hashes, one row
 of packed distinct 32-bit fingerprints (a false hit costs two in 100,000 probes some work, at any size of the
 corpus, as ranges are added with the words; it can't change the result); then windows around hits.  A group
-in a task is a bucket, or a range, of some 4 MB of text.
+in a task is a bucket, or a range, of some 4 MB of text.  Rows without words or doc_id, which all would share a
+bucket, get none, and equal rows are counted before they are grouped.
 
 Defined results: null, empty and wordless texts have no words; documents of fewer than SIZE words keep all;
 rows with a null doc_id keep all words and remove none elsewhere; rows that share a doc_id don't remove each
@@ -34,6 +35,7 @@ from . import words as W
 from .common import shuffle_partitions
 
 SIZE, BLOCK = 13, 7
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a bucket of documents holds about, and at least where there are few.
 BUCKET_BYTES, LEAST_BYTES = 4 << 20, 512 << 10
 
@@ -206,7 +208,7 @@ def _removed(texts: pa.Table, repeated: pa.Table) -> tuple[W.Words, np.ndarray]:
 
 def _kept(texts: pa.Table, repeated: pa.Table) -> pa.Table:
     if not texts.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], ["doc_id", "n_words", "n_removed", "kept_text", "times"])
     block, gone = _removed(texts, repeated)
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[block.first])
     out = []
@@ -216,7 +218,7 @@ def _kept(texts: pa.Table, repeated: pa.Table) -> pa.Table:
             out.append(b" ".join(block.buf[s:e].tobytes() for s, e in zip(block.start[keep], block.end[keep], strict=True)).decode())
         else:
             out.append(b" ".join(block.buf[block.offsets[d] : block.offsets[d + 1]].tobytes().split()).decode())
-    return pa.table([texts.column("doc_id"), pa.array(block.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+    return pa.table([texts.column("doc_id"), pa.array(block.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), texts.column("times")], ["doc_id", "n_words", "n_removed", "kept_text", "times"])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -225,12 +227,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Small inputs get smaller buckets, so that all tasks have work.
     buckets = max(1, math.ceil(size / BUCKET_BYTES), min(2 * shuffle_partitions(docs), math.ceil(size / LEAST_BYTES)))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
+    alone = F.col("doc_id").isNull() | ~F.col("text").rlike(WORD)
+    dealt = docs.where(~alone).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
+    dealt = dealt.repartition("bucket").groupBy("bucket", "doc_id", "text").agg(F.count("*").alias("times"))
     probes = dealt.groupBy("bucket").applyInArrow(_probes(buckets), "range long, bucket long, mark int, prints binary")
     hits = probes.groupBy("range").applyInArrow(_hits, "bucket long, range long, prints binary")
     around = dealt.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(buckets), "range long, bucket long, windows binary, ids binary, times binary")
     repeated = around.groupBy("range").applyInArrow(_repeated, "bucket long, windows binary")
-    return dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    kept = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, times long")
+    kept = kept.select("doc_id", "n_words", "n_removed", "kept_text", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
+    whole = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return kept.union(docs.where(alone).select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"), whole))
 
 
 #: DuckDB: doc_id, n_words, n_removed and the digest of the kept text.

@@ -10,7 +10,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import numpy as np
@@ -82,6 +82,9 @@ def test_repeats(docs, empty):
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.deduplicate(docs).collect()]
     assert sorted(got) == sorted(expected)
     assert repeats.deduplicate(empty).count() == 0
+    many = docs.sparkSession.createDataFrame([(None, "")] * 50 + [(None, " a\tb ")] * 50 + [(3, "a b " * 9)] * 50 + [(4, " ".join(["a b"] * 9))], "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.deduplicate(many).collect())
+    assert got == {(None, 0, 0, ""): 50, (None, 2, 0, "a b"): 50, (3, 18, 0, " ".join(["a b"] * 9)): 50, (4, 18, 18, ""): 1}
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -391,6 +394,20 @@ def test_mixing(spark, docs, empty):
     assert sorted(map(str, mixing.mix(mixing.sized(docs)).collect())) == sorted(map(str, plan))
 
 
+def test_mixing_draws_equal_rows_each_by_itself(spark):
+    texts = ["one two three four"] * 60 + ["five six"] * 40 + [None, ""] + [f"w{k} x y" for k in range(50)]
+    ids = [7] * 60 + [None] * 40 + [None, 8] + list(range(100, 150))
+    docs = spark.createDataFrame([(i, t, "ab"[k % 2], {"k": k}) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, source string, meta map<string, int>")
+    words, drawn = sum(len(split(t)) for t in texts), mixing.draw(docs).collect()
+    taken = sum(len(split(x.text)) for x in drawn)
+    plan = mixing.mix(mixing.sized(docs)).collect()
+    targets = {x.source: x.target for x in plan}
+    assert len(plan) == len(texts) and sum(x.taken for x in plan) == taken and 1.5 * words - 4 <= taken <= 1.5 * words
+    for source, target in targets.items():
+        assert abs(sum(len(split(x.text)) for x in drawn if x.source == source) - target) <= 8
+    assert max(x.copy for x in drawn) <= 2 and not any(split(x.text) == [] for x in drawn)
+
+
 def test_urls(spark):
     given = ["http://A.Example.NET/en/1?q", "https://x.net", "ftp://b.example.com/de/#f", "http://q.org/fr/", "no scheme", None, "http://free-casino.example.com/slots", "http://notnet/"]
     pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
