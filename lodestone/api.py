@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import graph as operators
 from .operators import search as text_search
 from .plans import context as ctx
 from .plans import index, visual
@@ -26,12 +27,13 @@ def _clamped(value: float | None, bounds: tuple[int, int, int]) -> int:
 class CodeGraph:
     """A warehouse of indexed repositories.
 
-    The warehouse is a folder on any file system that Spark reaches; by default that of LODESTONE_WAREHOUSE, else one
-    in the user's home."""
+    The warehouse is a folder on any file system that Spark reaches; by default the one in the given tree's own
+    `.lodestone/warehouse`, where there is one, then that of LODESTONE_WAREHOUSE, else one in the user's home."""
 
-    def __init__(self, spark: SparkSession, warehouse: str | None = None):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, repo_path: str | None = None):
+        own = os.path.join(os.path.abspath(repo_path), ".lodestone", "warehouse") if repo_path else None
         self.spark = spark
-        self.store = Store(spark, warehouse or os.environ.get("LODESTONE_WAREHOUSE") or str(Path.home() / ".lodestone"))
+        self.store = Store(spark, warehouse or (own if own and os.path.isdir(own) else None) or os.environ.get("LODESTONE_WAREHOUSE") or str(Path.home() / ".lodestone"))
 
     def _root(self, repo_path: str) -> str:
         root = os.path.abspath(repo_path)
@@ -72,12 +74,16 @@ class CodeGraph:
             "symbolCount": self.store.table("symbols", repo_id).count(), "edgeCount": self.store.table("edges", repo_id).count(),
         }
 
-    def search(self, repo_path: str, query: str, limit: int | None = None) -> DataFrame:
+    def search(self, repo_path: str, query: str, limit: int | None = None, prefix: bool = False) -> DataFrame:
         """type, path, name, line, excerpt, score of the rows that hold every term, the best first; none for an
-        empty query."""
+        empty query.  With `prefix`, where no row does, those with a token that begins as the query's first word,
+        with score 0."""
         _, repo_id = self._must_know(repo_path)
-        t = self.tables(repo_id)
-        hits = ctx.ranked_hits(t.search_index, repo_id, query, _clamped(limit, LIMIT), every=True)
+        t, limit = self.tables(repo_id), _clamped(limit, LIMIT)
+        hits = ctx.ranked_hits(t.search_index, repo_id, query, limit, every=True)
+        if prefix and query.split() and not hits.head(1):
+            own = t.search_index.where(F.col("repo_id") == repo_id).withColumn("key", F.struct("entity_type", "entity_id", "text"))
+            hits = text_search.match_prefix(own, query.split()[0], "key").select("key.*", F.lit(0.0).alias("rank")).orderBy("entity_type", "entity_id").limit(limit)
         symbols = t.symbols.select(F.col("symbol_id").alias("entity_id"), "name", F.col("start_line").alias("line"), F.col("file_id").alias("_file"))
         files = t.files.select(F.col("file_id").alias("_in"), "path")
         found = hits.join(symbols, "entity_id", "left").withColumn("_in", F.coalesce("_file", "entity_id")).join(files, "_in", "left")
@@ -91,6 +97,21 @@ class CodeGraph:
         rows = self.store.table("search_index", repo_id).select("entity_type", "entity_id", "text")
         return text_search.match_prefix(rows.withColumn("key", F.struct("entity_type", "entity_id", "text")), word, "key").select("key.*").orderBy("entity_type", "entity_id").limit(_clamped(limit, LIMIT))
 
+    def neighbours(self, repo_path: str, node_type: str, node_id: int, depth: int = 1, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+        """Nodes around one node of the graph and the edges walked to them."""
+        _, repo_id = self._must_know(repo_path)
+        seed = self.spark.createDataFrame([(node_type, node_id)], "type string, id long")
+        return operators.neighbours(self.store.table("edges", repo_id), seed, depth, direction)
+
+    def symbol(self, repo_path: str, fq_name: str) -> DataFrame:
+        """Symbols by their full name, `path:name`."""
+        _, repo_id = self._must_know(repo_path)
+        return operators.named(self.store.table("symbols", repo_id), "fq_name", fq_name)
+
+    def module(self, repo_path: str, name: str) -> DataFrame:
+        _, repo_id = self._must_know(repo_path)
+        return operators.named(self.store.table("modules", repo_id), "name", name)
+
     def snippet(self, repo_path: str, file_path: str, start_line: int | None = None, end_line: int | None = None) -> dict:
         """Lines of one file on disk, at most 500; a path outside the tree or without a file is an error."""
         root = self._root(repo_path)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import code_queries
+from . import code_queries, operator_queries
 from .functions import text as T
 from .operators import graph, relational, search
 
@@ -131,16 +131,6 @@ def query_terms(spark, sf_dir):
     return words.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT page_id, unnest(regexp_extract_all(html, '\\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\\b')) AS name FROM pages")
-def camel_case_mentions(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), F.lit(0))).alias("name"))
-
-
-@_query("SELECT page_id, unnest(regexp_extract_all(url, '[A-Za-z0-9_./-]+/[A-Za-z0-9_./-]*\\.html\\b')) AS path FROM pages")
-def path_mentions(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(r"[A-Za-z0-9_./-]+/[A-Za-z0-9_./-]*\.html\b"), F.lit(0))).alias("path"))
-
-
 @_query(f"WITH {_EDGES} SELECT src, dst, 'IMPORTS' AS rel, CAST(1.0 AS DOUBLE) AS weight FROM edges")
 def import_edges(spark, sf_dir):
     return import_graph(spark, sf_dir).select("src", "dst", F.lit("IMPORTS").alias("rel"), F.lit(graph.WEIGHTS["IMPORTS"]).alias("weight"))
@@ -225,11 +215,6 @@ def top3_per_file(spark, sf_dir):
     return relational.top_per(lines, "l_orderkey", 3, order).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "place")
 
 
-@_query("""SELECT l_partkey, max(l_orderkey) AS last_order FROM lineitem GROUP BY l_partkey""")
-def last_wins_symbols(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max("l_orderkey").alias("last_order"))
-
-
 @_query("""WITH r AS (SELECT DISTINCT l_orderkey AS file, greatest(1, l_linenumber * 9 - 3) AS first, l_linenumber * 9 + 3 AS last FROM lineitem),
 m AS (SELECT *, max(last) OVER (PARTITION BY file ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
 g AS (SELECT *, sum(CASE WHEN first > coalesce(reach, -2) + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m)
@@ -302,8 +287,8 @@ def budget_fold(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | code_queries.QUERIES
+    return _QUERIES | code_queries.QUERIES | operator_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | code_queries.SQL
+    return _SQL | code_queries.SQL | operator_queries.SQL

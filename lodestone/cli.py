@@ -1,4 +1,4 @@
-"""Command line: status, index, search, snippet, context, visualize."""
+"""Command line: status, index, search, snippet, context, visualize, serve."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .api import CodeGraph
+from .server import serve
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -38,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     context.add_argument("--budget", type=int)
     context.add_argument("--hint-path", action="append")
     context.add_argument("--hint-symbol", action="append")
+    commands.add_parser("serve")
     return top
 
 
@@ -58,7 +60,10 @@ def report(command: str, result: dict, path: str) -> str:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
-    graph = CodeGraph(spark, a.warehouse)
+    graph = CodeGraph(spark, a.warehouse, getattr(a, "path", None))
+    if a.command == "serve":
+        serve(graph, sys.stdin, sys.stdout)
+        return 0
     try:
         if a.command == "status":
             print(report("status", graph.status(a.path), a.path))

@@ -104,7 +104,7 @@ SELECT file_id, 'DEFINES' AS rel, name AS dst, CAST(1.0 AS DOUBLE) AS weight FRO
 UNION ALL SELECT e.file_id, 'EXPORTS', e.name, CAST(0.8 AS DOUBLE) FROM e JOIN s ON e.file_id = s.file_id AND e.name = s.name
 UNION ALL SELECT a.file_id, 'EXTENDS', b.name, CAST(1.0 AS DOUBLE) FROM s a JOIN s b ON a.file_id = b.file_id AND a.base = b.name""")
 def index_symbol_edges(spark, sf_dir):
-    rows = parsed(sources(spark, sf_dir))
+    rows = cut(parsed(sources(spark, sf_dir)).drop("text"))  # read by three branches, parsed once
     symbols = symbols_of(rows)
     edges = symbol_edges(symbols, rows.select("repo_id", "file_id", F.col("parsed.exports").alias("exports")))
     return edges.join(symbols.select(F.col("symbol_id").alias("dst_id"), F.col("name").alias("dst")), "dst_id").select("file_id", "rel", "dst", "weight")

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folding() -> tuple[str, str]:
+    """Letters of the Latin, Greek and Cyrillic blocks that are a letter with marks, those letters, and then the marks
+    alone, which fold to nothing."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(unicodedata.combining(m) for m in marks) and c == c.lower():
+            found[c] = base
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+ACCENTED, FOLDED = _folding()
+_FOLD = dict(zip(map(ord, ACCENTED), FOLDED)) | dict.fromkeys(range(0x300, 0x370))
 #: Words of a question that name nothing; only words of more than three letters are looked up.
 STOP_WORDS = (
     "the and for are but not you all can had her was one our out has have been this that with they from will what when make like time "
@@ -20,6 +35,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
+def folded_words(text: str) -> list[str]:
+    """The tokens of one string, as tokens() gives them."""
+    return re.findall(r"[^\W_]+", text.lower().translate(_FOLD))
+
+
 def occurrences(toks: Column, phrase: list[str]) -> Column:
     """How often a phrase of one or more tokens stands in a token array."""
     if len(phrase) == 1:

@@ -37,8 +37,8 @@ def merged_ranges(ranges: DataFrame, group: str) -> DataFrame:
 
 
 def best_per(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """group and the tie column and score of its best row, the smallest tie first; one aggregate, no window."""
-    best = F.max_by(F.struct(score, tie), F.struct(F.col(score), -F.col(tie)))
+    """group and the tie column, of any type, and score of its best row, the smallest tie first; one aggregate."""
+    best = F.min_by(F.struct(score, tie), F.struct(-F.col(score), F.col(tie)))
     return rows.groupBy(group).agg(best.alias("b")).select(group, F.col(f"b.{tie}").alias(tie), F.col(f"b.{score}").alias(score))
 
 

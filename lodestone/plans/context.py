@@ -38,9 +38,7 @@ def ranked_hits(search_index: DataFrame, repo_id: int, query: str, limit: int, e
     rows = search_index.select("repo_id", "entity_type", "entity_id", "text", F.struct("entity_type", "entity_id").alias("key"))
     if not terms:
         return rows.select("entity_type", "entity_id", "text", F.lit(0.0).alias("rank")).limit(0)
-    ranked = search.bm25(rows, query, "key")
-    if every:
-        ranked = ranked.join(search.match(rows, query, True, "key"), "key", "left_semi")
+    ranked = search.bm25(rows, query, "key", every)
     hits = ranked.select("key.entity_type", "key.entity_id", "rank").join(search_index.where(F.col("repo_id") == repo_id), ["entity_type", "entity_id"])
     return hits.orderBy("rank", "entity_type", "entity_id").limit(limit).select("entity_type", "entity_id", "text", "rank")
 
@@ -85,12 +83,13 @@ def candidates(t: Tables, task: str, hints: dict | None = None, fts_score: str =
 def expanded(t: Tables, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files reached from seeds over IMPORTS in two steps (node, depth, score), and the edges walked.
 
-    Edges lead from a file, or from a symbol of it, to a file or to a symbol's file."""
+    Edges lead from a file, or from a symbol of it, to a file or to a symbol's file.  Those to a module are walked,
+    but lead nowhere."""
     owner = t.symbols.select("symbol_id", F.col("file_id").alias("_file"))
-    e = t.edges.where("rel = 'IMPORTS' or (rel = 'REFERENCES' and src_type = 'symbol')").where("dst_type <> 'module'")
+    e = t.edges.where("rel = 'IMPORTS' or (rel = 'REFERENCES' and src_type = 'symbol')")
     e = e.join(owner.toDF("src_id", "_src_file"), "src_id", "left").join(owner.toDF("dst_id", "_dst_file"), "dst_id", "left")
     src = F.when(F.col("src_type") == "symbol", F.col("_src_file")).otherwise(F.col("src_id"))
-    dst = F.when(F.col("dst_type") == "symbol", F.col("_dst_file")).otherwise(F.col("dst_id"))
+    dst = F.when(F.col("dst_type") == "symbol", F.col("_dst_file")).when(F.col("dst_type") == "file", F.col("dst_id"))
     walk = e.select(src.alias("src"), dst.alias("dst"), "src_type", "src_id", "rel", "dst_type", "dst_id", "ord")
     steps = walk.where("src is not null and dst is not null")
     nodes = graph.expand_scored(steps.select("src", "dst").distinct(), seeds.select(F.col("file_id").alias("node")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,6 +54,17 @@ def stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files")).crossJoin(kinds).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
+def find(drawn: DataFrame, text: str) -> DataFrame:
+    """Nodes whose label or path holds a text, in any case."""
+    low = F.lit(text.lower())
+    return drawn.where(F.contains(F.lower("label"), low) | F.contains(F.lower(F.coalesce("fullPath", F.lit(""))), low))
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    """A number and what it counts, in the singular where it is 1."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}"))
+
+
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Code graph</title>
 <style>body{margin:0;font:13px sans-serif}#bar{position:fixed;padding:8px;background:#fffd}svg{width:100vw;height:100vh}line{stroke:#bbb}.EXTENDS,.IMPLEMENTS{stroke:#c60}text{pointer-events:none}.dim{opacity:.1}</style>
 <div id=bar><input id=find placeholder="Find"> <span id=stats></span> <span id=kinds></span> <b id=info></b></div><svg><g></g></svg>

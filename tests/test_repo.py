@@ -1,11 +1,13 @@
 """Walking, resolving, indexing, searching and context on small trees of our own."""
 
+import io
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import cli
+from lodestone import cli, server
 from lodestone.api import CodeGraph
 from lodestone.operators import resolve
 from lodestone.parsers import parsed
@@ -230,3 +232,57 @@ def test_stream_indexes_trees_as_they_change(spark, tmp_path):
     changes = spark.readStream.schema("root string").json(str(inbox))
     index_on_change(changes, str(tmp_path / "warehouse")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert CodeGraph(spark, str(tmp_path / "warehouse")).status(root)["fileCounts"]["total"] == 1
+
+
+def test_tool_server(indexed, tmp_path):
+    graph, root, _ = indexed
+    tree = plant(tmp_path / "other", {"a.ts": "import { b } from './b';\nexport class Žába {}\n", "b.ts": "export const b = 1;\n"})
+
+    def tool(name, **a):
+        return {"jsonrpc": "2.0", "id": 7, "method": "tools/call", "params": {"name": name, "arguments": a}}
+
+    messages = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        tool("repo_status", repo_path=tree), tool("repo_index", repo_path=tree), tool("repo_status", repo_path=tree), tool("repo_search", repo_path=tree, query="zaba"),
+        tool("repo_snippet", repo_path=tree, file_path="b.ts"), tool("repo_context_get", repo_path=tree, task="Change a.ts", hints={"paths": ["a.ts"]}),
+        tool("repo_snippet", repo_path=tree, file_path="../x"), tool("none"), tool("repo_search", repo_path=tree), {"jsonrpc": "2.0", "id": 9, "method": "no/such"},
+    ]
+    out = io.StringIO()
+    server.serve(graph, io.StringIO("\n".join([*map(json.dumps, messages), "", "{"])), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == len(messages) and got[0]["result"]["capabilities"] == {"tools": {}}
+    assert {t["name"] for t in got[1]["result"]["tools"]} == {"repo_status", "repo_index", "repo_search", "repo_snippet", "repo_context_get"}
+    results = [json.loads(x["result"]["content"][0]["text"]) for x in got[2:11]]
+    assert results[0] == {"status": "not_indexed"} and results[1]["filesIndexed"] == 2 and results[2]["status"] == "indexed"
+    assert results[3]["results"][0]["name"] == "Žába" and results[4]["text"] == "export const b = 1;\n"
+    assert [x["path"] for x in results[5]["focus"] if x["type"] == "file"] == ["a.ts", "b.ts"]
+    assert [("error" in x, y["result"].get("isError")) for x, y in zip(results[6:], got[8:11])] == [(True, True)] * 3
+    assert got[11]["error"]["code"] == -32601 and got[12]["error"]["code"] == -32700
+
+
+def test_neighbours_and_lookups(indexed):
+    graph, root, _ = indexed
+    ids = {r.path: r.file_id for r in graph.store.table("files", graph._known(root)).collect()}
+    nodes, edges = graph.neighbours(root, "file", ids["src/store.ts"], 1, "incoming")
+    assert {(r.type, r.id) for r in nodes.collect()} == {("file", ids[p]) for p in ("src/store.ts", "src/app.ts", "src/old.js")}
+    assert {r.rel for r in edges.collect()} == {"IMPORTS"} and edges.count() == edges.distinct().count() == 2
+    nodes, edges = graph.neighbours(root, "file", ids["src/app.ts"], 2, "outgoing")
+    assert ids["src/model/item.ts"] in {r.id for r in nodes.collect()} and edges.count() == edges.distinct().count()
+    with pytest.raises(ValueError):
+        graph.neighbours(root, "file", 1, 1, "sideways")
+    assert [r.name for r in graph.symbol(root, "src/store.ts:Bag").collect()] == ["Bag"] and graph.module(root, "none").count() == 0
+
+
+def test_search_falls_back_to_a_prefix(indexed):
+    graph, root, _ = indexed
+    assert graph.search(root, "Stor").count() == 0
+    assert {r.name for r in graph.search(root, "Stor", prefix=True).collect() if r.type == "symbol"} == {"Store", "Store.put", "Bag"}
+    assert graph.search(root, "", prefix=True).count() == graph.search(root, "NoneSuch", prefix=True).count() == 0
+
+
+def test_a_tree_may_hold_its_own_warehouse(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("LODESTONE_WAREHOUSE", str(tmp_path / "global"))
+    assert CodeGraph(spark, repo_path=str(tmp_path)).store.root == str(tmp_path / "global")
+    (tmp_path / ".lodestone" / "warehouse").mkdir(parents=True)
+    assert CodeGraph(spark, repo_path=str(tmp_path)).store.root == str(tmp_path / ".lodestone" / "warehouse")
+    assert CodeGraph(spark, "/given", str(tmp_path)).store.root == "/given"
