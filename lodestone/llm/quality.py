@@ -24,6 +24,8 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Percent of a line's characters in words that may be symbols; of a line's words that may shout; of a
 #: document's characters in words that may be lost.
 MOST_SYMBOLS, MOST_SHOUTS, MOST_LOST = 10, 30, 50
+#: Bars and arrows between the pieces of navigation.
+BARS = "|»›>"
 #: Words that a piece between bars or arrows has at most, on average, in navigation.
 PIECE_WORDS = 3
 BOILERPLATE = ("all rights reserved", "licensed under the", "privacy policy", "terms of use", "terms of service", "accept cookies", "use cookies", "sign in", "log in", "subscribe now", "click here", "read more", "enable javascript")
@@ -73,17 +75,29 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
     return of_words(words)
 
 
-def line_fails(line: Column) -> Column:
-    solid, n_words = _solid(line), F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    symbols = 100 * (F.length(line) - F.length(_without(line, SYMBOLS))) > MOST_SYMBOLS * solid
-    bars = F.length(line) - F.length(_without(line, "|»›>"))
+def _phrase(text: Column) -> Column:
+    low = F.lower(text)
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | F.contains(low, F.lit(phrase))
+    return found
+
+
+def _hints(text: Column, n_symbols: Column) -> Column:
+    """Which of a line's rules a text gives cause to try: without its marks anywhere no line fails by a rule."""
+    bars = F.lit(False)
+    for mark in BARS:
+        bars = bars | (n_symbols > 0 if mark in SYMBOLS else F.contains(text, F.lit(mark)))
+    return F.struct((n_symbols > 0).alias("symbols"), bars.alias("bars"), F.contains(text, F.lit("!!")).alias("shouts"), _phrase(text).alias("phrase"))
+
+
+def line_fails(line: Column, hints: Column) -> Column:
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    symbols = 100 * (F.length(line) - F.length(_without(line, SYMBOLS))) > MOST_SYMBOLS * _solid(line)
+    bars = F.length(line) - F.length(_without(line, BARS))
     navigation = (bars >= 2) & (n_words - bars <= PIECE_WORDS * (bars + 1))
     shouts = 100 * F.regexp_count(line, F.lit(r"!!")) > MOST_SHOUTS * n_words
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return symbols | navigation | shouts | boilerplate
+    return (hints["symbols"] & symbols) | (hints["bars"] & navigation) | (hints["shouts"] & shouts) | (hints["phrase"] & _phrase(line))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -93,22 +107,23 @@ def measure(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))
+        chars = F.length(F.array_join(w, ""))
+        return F.struct(F.size(w).cast("long").alias("n"), chars.cast("long").alias("chars"), repeated_words(w).cast("long").alias("r"))
 
     def of_lines(lines: Column) -> Column:
-        good = F.filter(lines, lambda x: ~line_fails(x))
-        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"), good.alias("good"))
-
-    lines = F.filter(F.split("text", "\n"), lambda x: _solid(x) > 0)
-    got = base.select(
-        "doc_id",
-        _solid(F.col("text")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        let(words_of(F.col("text")), of_words).alias("w"),
-        let(lines, of_lines).alias("l"),
-    )
-    lost = F.col("word_chars") - F.aggregate("l.good", F.lit(0), lambda acc, x: acc + _solid(x))
-    got = got.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), lost.cast("long").alias("lost_chars"), F.array_join("l.good", "\n").alias("clean_text"))
+        def judged(hints: Column) -> Column:
+            return F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x, hints).alias("fails")))
+
+        again = F.size(lines) - F.size(F.array_distinct(lines))
+        return F.struct(again.cast("long").alias("dup"), let(_hints(F.col("text"), F.col("n_symbols")), judged).alias("all"))
+
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    symbols = F.length("text") - F.length(_without(F.col("text"), SYMBOLS))
+    got = base.withColumn("n_symbols", symbols.cast("long"))
+    got = got.select("doc_id", "n_symbols", let(words_of(F.col("text")), of_words).alias("w"), let(lines, of_lines).alias("l"))
+    failing, good = F.filter("l.all", lambda x: x["fails"]), F.filter("l.all", lambda x: ~x["fails"])
+    lost = F.aggregate(failing, F.lit(0), lambda acc, x: acc + _solid(x["line"]))
+    got = got.select("doc_id", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), lost.cast("long").alias("lost_chars"), F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("clean_text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     kept = ~failed & (100 * F.col("lost_chars") <= MOST_LOST * F.col("word_chars"))
     return got.withColumn("base_failed", failed).withColumn("kept", kept).withColumn("clean_text", F.when(F.col("kept"), F.col("clean_text")))
@@ -121,7 +136,7 @@ def sql() -> str:
     count = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
     word, phrases = r"[^\x20\x09-\x0D]+", " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
     symbols = lambda x: f"(length({x}) - length(translate({x}, '{SYMBOLS}', '')))"
-    bars = "(length(x) - length(translate(x, '|»›>', '')))"
+    bars = f"(length(x) - length(translate(x, '{BARS}', '')))"
     return f"""
 WITH base AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, regexp_extract_all(text, '{word}') AS w, list_filter(string_split(text, chr(10)), lambda x: {solid("x")} > 0) AS lines FROM base),
