@@ -6,7 +6,8 @@ softmax are trained together by stochastic gradient descent in numpy on a bounde
 number of each language (the smallest by a hash of doc_id), each as its whole text and as a few of its words, so
 that short texts are learned too.  A tenth of the sample's documents is held back, with their pieces, to calibrate:
 a temperature that makes the scores honest probabilities, and the score below which a prediction is marked as
-rejected.  One executor task trains, so that the driver holds no text.
+rejected.  Languages learn with equal weight, and how frequent each is in the corpus then enters as its prior.  One
+executor task trains, so that the driver holds no text.
 
 As averaging and the softmax's matrix are linear, the executors get their product, one row of logits a
 bucket: its size does not depend on the input.
@@ -34,10 +35,12 @@ from .common import fold
 SAMPLE, LANGUAGES, SUBWORDS = 3000, 200, 16_000_000
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 1.0
+#: Steps that training takes at least, and the most that a document of a rare language counts beside one of the average.
+STEPS, MOST_WEIGHT = 600, 10.0
 #: Words of the short pieces that are learned beside whole texts.
 PIECE = 6
 #: Share of wrong predictions that are accepted on the calibration part.
-ERRORS = 0.002
+ERRORS = 0.01
 UNKNOWN = "und"
 
 
@@ -99,16 +102,17 @@ def _sample(docs: DataFrame, bound: int) -> DataFrame:
     known = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 24)) < share)
     known = known.groupBy("lang", F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return known.withColumn("place", place).where(F.col("place") <= each).drop("place")
+    return known.withColumn("place", place).where(F.col("place") <= each).drop("place").join(F.broadcast(counts), "lang")
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, ids, times, of, room, n = [], [], [], [], SUBWORDS, 0
+        labels, ids, times, of, room, n, often = [], [], [], [], SUBWORDS, 0, {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
+            often |= dict(zip(langs, batch.column("count").to_pylist(), strict=True))
             for column in (batch.column("text"), _pieces(batch.column("text"))):
                 for i, x, t in _bags(column):
                     if len(x) <= room:
@@ -118,19 +122,20 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> Model:
                         times.append(t.astype(np.float32))
                         of.append(n + i)
             n += len(langs)
-        model = train(labels, ids, times, np.array(of, int))
+        model = train(labels, ids, times, np.array(of, int), often)
         kind = pa.schema([("languages", pa.list_(pa.string())), ("table", pa.binary()), ("bias", pa.binary()), ("temperature", pa.float64()), ("least", pa.float64())])
         yield pa.RecordBatch.from_pylist([{"languages": model.languages, "table": model.table.tobytes(), "bias": model.bias.tobytes(), "temperature": model.temperature, "least": model.least}], kind)
 
-    rows = _sample(docs, bound).repartition(1).sortWithinPartitions("h", "doc_id", "lang").select("lang", "text")
+    rows = _sample(docs, bound).repartition(1).sortWithinPartitions("h", "doc_id", "lang").select("lang", "text", "count")
     got = rows.mapInArrow(learn, "languages array<string>, table binary, bias binary, temperature double, least double").first()
     if got is None:
         return train([], [], [], np.zeros(0, int))
     return Model(got.languages, np.frombuffer(got.table, np.float32).reshape(1 << BITS, -1) if got.languages else np.zeros((1 << BITS, 0), np.float32), np.frombuffer(got.bias, np.float32), got.temperature, got.least)
 
 
-def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray], of: np.ndarray) -> Model:
-    """of: the document of each bag; those of every tenth document are not learned but calibrate."""
+def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray], of: np.ndarray, often: dict[str, int] | None = None) -> Model:
+    """of: the document of each bag; those of every tenth document are not learned but calibrate.  often: how many
+    documents of each language there are."""
     languages = sorted(set(labels))
     random = np.random.default_rng(11)
     k = len(languages)
@@ -140,23 +145,29 @@ def train(labels: list[str], ids: list[np.ndarray], times: list[np.ndarray], of:
     shares = [t / t.sum() for t in times]
     held = of % 10 == 0 if len(set(of)) >= 50 else np.zeros(len(y), bool)
     learn = np.flatnonzero(~held)
-    for epoch in range(EPOCHS if k else 0):
+    many = np.bincount(y[learn], minlength=k)
+    counts = np.minimum(many.sum() / (max(1, k) * np.maximum(many, 1)), MOST_WEIGHT).astype(np.float32)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(learn)))) if k else 0
+    for epoch in range(epochs):
         random.shuffle(learn)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for part in np.array_split(learn, max(1, len(learn) // BATCH)):
             x, v = np.concatenate([ids[i] for i in part]), np.concatenate([shares[i] for i in part]).astype(np.float32)
             first = np.cumsum([0, *(len(ids[i]) for i in part[:-1])])
             h = np.add.reduceat(e[x] * v[:, None], first)
             p = _softmax(h @ w + b)
             p[np.arange(len(part)), y[part]] -= 1
+            p *= counts[y[part]][:, None]
             back = p @ w.T
             w -= rate / len(part) * (h.T @ p)
             b -= rate / len(part) * p.sum(0)
             np.subtract.at(e, x, rate * 4 * v[:, None] * np.repeat(back, np.diff([*first, len(x)]), 0))
     table = e @ w
     logits = np.array([shares[i] @ table[ids[i]] + b for i in np.flatnonzero(held)]).reshape(np.count_nonzero(held), k)
-    temperature, least = _calibrate(logits, y[held])
-    return Model(languages, table.astype(np.float32), b, temperature, least)
+    prior = np.array([(often or {}).get(x, 1) for x in languages], float)
+    prior = np.log(prior / prior.mean()) if k else prior
+    temperature, least = _calibrate(logits, y[held], prior)
+    return Model(languages, table.astype(np.float32), (b + temperature * prior).astype(np.float32), temperature, least)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -164,15 +175,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The temperature of least cross entropy, and the least score that keeps errors among accepted ones at ERRORS."""
+def _calibrate(logits: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[float, float]:
+    """The temperature of least cross entropy, and the least score that keeps errors among accepted ones at ERRORS.
+
+    The rows have languages in equal parts; for the second they count as their languages do in the corpus."""
     if not len(y) or not logits.shape[1]:
         return 1.0, 0.5
     entropy = lambda t: -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.1, 10, 41), key=entropy))
-    p = _softmax(logits / temperature)
+    p = _softmax(logits / temperature + prior)
     order = np.argsort(-p.max(1), kind="stable")
-    wrong = np.cumsum(p.argmax(1)[order] != y[order]) / np.arange(1, len(y) + 1)
+    counts = np.exp(prior[y])[order]
+    wrong = np.cumsum(counts * (p.argmax(1)[order] != y[order])) / np.cumsum(counts)
     fine = np.flatnonzero(wrong <= ERRORS)
     return temperature, float(p.max(1)[order][fine[-1]]) if len(fine) else 1.0
 
