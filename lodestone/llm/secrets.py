@@ -53,6 +53,8 @@ _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _MAGIC = re.compile(rb"(\x1f\x8b\x08)|(x[\x01\x5e\x9c\xda])|(BZh[1-9])|(\xfd7zXZ\x00)")
 #: Without any of these decoded bytes hold neither a base pattern nor an encoded part.
 _WORTH = re.compile(r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ|[A-Za-z0-9+/_-]{16}|" + _ESCAPE.pattern)
+#: A text without any of these, and without a run of base64, has no layers.
+_SIGNS = ("%", "\\u", "\\x", "&#", "\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda", "BZh", "\xfd7zXZ")
 
 
 @dataclass
@@ -232,7 +234,7 @@ def _layers(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str) -> list[tuple[int, int, str]]:
     """Base spans and those of every layer, mapped to the text, ascending and once each."""
     found, seen = set(base_spans(text)), set()
-    work = [_layers(Layer.of(text))] if _WORTH.search(text) else []
+    work = [_layers(Layer.of(text))] if any(x in text for x in _SIGNS) or _RUN.search(text) else []
     while work:
         layer = next(work[-1], None)
         if layer is None:

@@ -67,6 +67,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels.where("1 = 0"))).count() == 0
 
 
+def test_toxicity_of_documents_that_were_not_learned(spark):
+    folder = "/root/testdata/sf0.1"
+    given, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(given, labels)
+    judged = toxicity.score(given, model).join(labels, "doc_id").where(toxicity.fold() == 0).groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in judged}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_toxicity_of_conflicting_labels_and_equal_texts(spark):
+    texts = ["what a vile grumbot you are"] * 40 + ["what a fine day it is"] * 40
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i in range(80) for v in ([0, 1] if i < 40 else [0, 0])], "doc_id long, toxic int")
+    got = toxicity.score(given, toxicity.fit(given, labels)).collect()
+    assert {r.predicted for r in got if r.doc_id < 40} == {1} and {r.predicted for r in got if r.doc_id >= 40} == {0} and len({r.score for r in got}) == 2
+    assert {r.score for r in toxicity.score(given, toxicity.fit(given, labels.where("doc_id < 40"))).collect()} == {1.0}
+
+
 def test_repeats(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     least = {}
@@ -114,6 +132,31 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.link(empty, 2, 80).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 2])
+def test_near_duplicates_equal_an_exact_join(spark, size):
+    """All documents of sf0.01: components equal those of an exact prefix-filter join."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, comp = {}, {}
+    for r in given.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+        comp[r.doc_id] = r.doc_id
+    often, index = Counter(x for s in sets.values() for x in s), defaultdict(list)
+    for i in sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i])):
+        n = len(sets[i])
+        rare = sorted(sets[i], key=lambda x: (often[x], x))[: n - (4 * n + 4) // 5 + 1]
+        for j in {j for x in rare for j in index[x]}:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (n + len(sets[j]) - common) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+        for x in rare:
+            index[x].append(i)
+    found = near_dup.link(given, size, 80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == {i: (len(sets[i]), comp[i]) for i in sets}
+    assert len(set(comp.values())) < len(comp) - 30
+
+
 @pytest.mark.parametrize("few", [512, 3])
 def test_near_duplicates_in_large_nodes(spark, monkeypatch, few):
     """A group beyond LEAF and SERVED, with members about the threshold: compared in blocks, or by pivots and branches."""
@@ -386,6 +429,25 @@ def test_language(spark, docs, empty):
     assert language.predict(empty, language.fit(empty)).count() == 0
 
 
+def test_language_of_few_documents_and_its_calibration(spark, monkeypatch):
+    r = random.Random(6)
+    kinds = {"en": "the of and ing tion", "de": "der und sch keit nicht", "xx": "qua zor vlim puk"}
+    word = lambda k: "".join(r.choices(kinds[k].split(), k=2))
+    rows = [(i, " ".join(word(k) for _ in range(30)), k) for i, k in enumerate(["en", "de"] * 700 + ["xx"] * 12)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = []
+    calibrate = language._calibrate
+    monkeypatch.setattr(language, "_calibrate", lambda logits, y, prior: held.append(len(y)) or calibrate(logits, y, prior))
+    bags = [np.array([k], np.int32) for k in range(120)]
+    language.train(["a", "b"] * 60, bags, [np.ones(1, np.float32)] * 120, np.arange(120) // 2)
+    assert held == [12]  # both bags of every tenth of 60 documents
+    monkeypatch.undo()
+    model = language.fit(train, bound=300)
+    got = {x.doc_id: x for x in language.predict(train, model).collect()}
+    assert model.languages == ["de", "en", "xx"] and all(got[i].lang_pred == k for i, _, k in rows)
+    assert sum(got[i].rejected for i, _, _ in rows) < 0.2 * len(rows)
+
+
 def test_mixing(spark, docs, empty):
     plan = mixing.mix(mixing.sized(docs)).collect()
     assert len(plan) == docs.count() and all(x.taken in (0, x.size, 2 * x.size) for x in plan)
