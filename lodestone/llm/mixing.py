@@ -16,6 +16,7 @@ without words has target 0; without any words every target is 0.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)
 #: How often a document can be taken at most.
 ROUNDS = 2
+#: Columns that tell rows apart.
+KEY = ("_mix_file", "_mix_row")
 #: Sources whose targets are broadcast at most; more are joined by a shuffle.
 SOURCES = 10_000
 #: Rows that one range of the shuffle, or of finish times, holds about; ranges of finish times there are at most.
@@ -113,10 +116,22 @@ def mix(sizes: DataFrame, **settings) -> DataFrame:
 def draw(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of docs, as often as they are taken, with a column `copy` from 1.
 
-    Rows are numbered in a written table, so that equal ones, and those that share a doc_id, are drawn each by itself."""
-    keyed = store(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    plan = mix(sized(keyed, "_mix_row"), **settings).where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
-    return keyed.join(plan, "_mix_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy" if "copy" not in docs.columns else "mix_copy"))
+    Rows are told apart by where they stand in their files, so that equal ones, and those that share a doc_id, are
+    drawn each by itself."""
+    keyed = _keyed(docs)
+    plan = mix(sized(keyed, *KEY), **settings).where("copies > 0").select(*KEY, F.col("copies").alias("_mix_copies"))
+    return keyed.join(plan, list(KEY)).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy" if "copy" not in docs.columns else "mix_copy"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row that every reading gives again: that of a table of files comes from the files, any
+    other is written once with numbers."""
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
+        except AnalysisException:
+            pass  # files of a format that does not count rows
+    return store(docs.select("*", F.lit(0).cast("long").alias(KEY[0]), F.monotonically_increasing_id().alias(KEY[1])))
 
 
 #: DuckDB: the rows of mix(), without source and copies.

@@ -456,10 +456,19 @@ def test_mixing(spark, docs, empty):
     assert sorted(map(str, mixing.mix(mixing.sized(docs)).collect())) == sorted(map(str, plan))
 
 
-def test_mixing_draws_equal_rows_each_by_itself(spark):
+def test_mixing_draws_equal_rows_each_by_itself(spark, tmp_path):
     texts = ["one two three four"] * 60 + ["five six"] * 40 + [None, ""] + [f"w{k} x y" for k in range(50)]
     ids = [7] * 60 + [None] * 40 + [None, 8] + list(range(100, 150))
     docs = spark.createDataFrame([(i, t, "ab"[k % 2], {"k": k}) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, source string, meta map<string, int>")
+    docs.repartition(5).write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    assert read._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") and "_mix_row" in mixing._keyed(read).columns
+    assert mixing._keyed(read).select(*mixing.KEY).distinct().count() == mixing._keyed(docs).select(*mixing.KEY).distinct().count() == len(texts)
+    for given in (docs, read):
+        _draws(given, texts)
+
+
+def _draws(docs, texts):
     words, drawn = sum(len(split(t)) for t in texts), mixing.draw(docs).collect()
     taken = sum(len(split(x.text)) for x in drawn)
     plan = mixing.mix(mixing.sized(docs)).collect()
