@@ -13,6 +13,9 @@ from ..parsers import parsed
 from ..sources import walk
 from ..store import Store
 
+#: Warnings that a summary lists; it counts the rest.
+SHOWN_WARNINGS = 1000
+
 
 def repo_id_of(spark: SparkSession, root: str) -> int:
     return spark.range(1).select(F.xxhash64(F.lit(root))).first()[0]
@@ -125,7 +128,10 @@ def index_repo(store: Store, root: str, mode: str | None = None, level: int = 0,
         modules = spark.createDataFrame([], "repo_id long, module_id long, name string, version string, manifest_path string")
         store.write(repo_id, version, "modules", modules)
 
-        warnings = [r[0] for r in unread.select("warning").unionByName(new_parsed.where("warning is not null").select("warning")).orderBy("warning").limit(1000).collect()]
+        warned = unread.select("warning").unionByName(new_parsed.where("warning is not null").select("warning"))
+        warnings = [r[0] for r in warned.orderBy("warning").limit(SHOWN_WARNINGS).collect()]
+        if len(warnings) == SHOWN_WARNINGS and (more := warned.count() - SHOWN_WARNINGS):
+            warnings.append(f"{more} more warnings")
         summary = {
             "repoId": repo_id, "mode": mode, "level": level, "filesIndexed": fresh.count(), "filesSkipped": unread.count(),
             "filesDeleted": deleted, "symbolCount": new_symbols.count(), "edgeCount": edges.count(), "warnings": warnings,
